@@ -1,0 +1,11 @@
+"""Queries of the engine's own operators."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
