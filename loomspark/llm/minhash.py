@@ -123,31 +123,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = TABLES, ha
     with_words = signed.where("node is not null").withColumn("first_id", F.coalesce("doc_id", F.lit(_LAST)))
     classes = written(with_words.groupBy("node").agg(F.min("first_id").alias("first_id"), F.any_value("a").alias("a"), F.any_value("b").alias("b")), "minhash-classes")
     keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, x, j, y))))
-    # in buckets a class goes by the first 8 bytes of its digest; sets are compared by all 16
-    short = F.conv(F.substring(F.hex("node"), 1, 15), 16, 10).cast("long")
-    keyed = classes.select(short.alias("s"), F.explode(keys).alias("key"))
+    # in buckets a class goes by its least doc_id; two classes with the same one are both asked for
+    keyed = classes.select(F.col("first_id").alias("s"), F.explode(keys).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi"), "minhash-buckets")
     members = written(keyed.join(shared, "key"), "minhash-members")
-    name = written(classes.select(short.alias("s"), "node", "first_id"), "minhash-names")
+    name = written(classes.select(F.col("first_id").alias("s"), "node", "first_id"), "minhash-names")
 
     def by_node(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
         pairs = pairs.join(name.select(F.col("s").alias("p"), F.col("node").alias("a")), "p").join(name.select(F.col("s").alias("q"), F.col("node").alias("b")), "q")
         return written(pairs.select("a", "b"), "minhash-pairs")
 
-    links = _confirmed(docs, by_node(members.where("s <> lo").select(F.col("lo").alias("p"), F.col("s").alias("q"))), name, shingle, percent)
+    # one pair for each class: with the least class that it shares a bucket with
+    first = members.where("s <> lo").groupBy(F.col("s").alias("q")).agg(F.min("lo").alias("p"))
+    links = _confirmed(docs, by_node(first.select("p", "q")), name, shingle, percent)
     roots = components(links, "minhash")
-    for hub in ("hi", None):
-        top = name.join(roots, "node", "left").select("s", F.coalesce("root", "node").alias("root"))
-        open_ = members.join(top, "s")
-        mixed_keys = open_.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("key")
-        open_ = written(open_.join(written(mixed_keys, "minhash-mixed"), "key", "left_semi"), "minhash-open")
+    for hub in ("lo", "hi", None):
+        top = written(name.join(roots, "node", "left").select("s", F.coalesce("root", "node").alias("root")), "minhash-roots")
+        at = members.join(top, "s")
+        # buckets whose members are not all connected yet
+        mixed_keys = at.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("key")
+        mixed_keys = written(mixed_keys, "minhash-mixed")
+        members = written(members.join(mixed_keys, "key"), "minhash-members")
+        at = members.join(top, "s")
         if hub:
-            other = top.select(F.col("s").alias("hi"), F.col("root").alias("hub_root"))
-            pairs = open_.where("s <> hi and s <> lo").join(other, "hi").where("root <> hub_root").select(F.col("s").alias("p"), F.col("hi").alias("q"))
+            hubs = top.select(F.col("s").alias(hub), F.col("root").alias("hub_root"))
+            pairs = at.where(f"s <> {hub}").join(hubs, hub).where("root <> hub_root").select(F.least("s", hub).alias("p"), F.greatest("s", hub).alias("q"))
         else:
-            left = open_.where("s <> lo").select("key", F.col("s").alias("p"), F.col("root").alias("r"), "hi")
-            right = open_.where("s <> lo").select("key", F.col("s").alias("q"), F.col("root").alias("t"))
+            rest = at.where("s <> lo and s <> hi")
+            left, right = rest.select("key", F.col("s").alias("p"), F.col("root").alias("r")), rest.select("key", F.col("s").alias("q"), F.col("root").alias("t"))
             pairs = left.join(right, "key").where("p < q and r <> t").select("p", "q")
         more = _confirmed(docs, by_node(pairs), name, shingle, percent)
         if more.limit(1).count():
