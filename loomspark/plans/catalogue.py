@@ -341,8 +341,8 @@ def _build() -> dict[str, tuple[Query, str | None]]:
         lambda spark, d: docs(spark, d).select("doc_id", F.posexplode(entities._found(F.col("markdown"), "Email")).alias("ord", "e")).select("doc_id", "ord", "e.name", "e.context"),
         f"""with s as ({seeds.DOCS}), m as (select doc_id, markdown, regexp_extract_all(markdown, {_quoted(p)}) as ms, regexp_split_to_array(markdown, {_quoted(p)}) as gs from s),
           u as (select doc_id, markdown, ms, gs, unnest(ms) as name, generate_subscripts(ms, 1) as i from m),
-          o as (select *, (coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::bigint as at from u),
-          t as (select *, substr(markdown, 1, at) as l, substr(markdown, at + length(name) + 1) as r from o)
+          o as (select *, (coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::bigint as pos from u),
+          t as (select *, substr(markdown, 1, pos) as l, substr(markdown, pos + length(name) + 1) as r from o)
           select doc_id, (i - 1)::int as ord, name, replace({_strip("regexp_extract(l, '[^.]*$') || name || case when contains(r, '.') then substr(r, 1, instr(r, '.')) else substr(r, 1, 50) end")}, chr(10), ' ') as context from t""",
     )
     q["entity_counts"] = (
