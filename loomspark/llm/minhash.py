@@ -4,11 +4,12 @@ Two collections of TABLES half keys, each of HALF minhashes, are computed for a
 a table's key combines one half key of either collection.  So TABLES^2 tables of
 2 * HALF hashes cost 2 * TABLES * HALF minhashes instead of 2 * TABLES^2 * HALF.
 
-Documents with equal shingle sets are one class from the start.  In each bucket of classes
-the least one is compared with the others on full sets, then the greatest with those not yet
-connected, and at last all pairs that are still in different components.  So every candidate
-pair is confirmed, refuted or already connected, and groups of near copies cost links in
-proportion to their size.
+Documents with equal shingle sets are one class from the start.  Each class is first compared
+with the least class of its buckets, which connects most groups of copies.  Buckets that then
+still hold several components are compared in whole: by size (sets that are alike enough differ
+by a third at most), in pairs of blocks of at most BLOCK classes.  A task compares the full sets
+of its classes and returns a spanning forest of the links, so that no pair is emitted as a row.
+Every candidate pair is confirmed, refuted or already connected.
 
 A text's shingles are those of five lower-cased (A-Z) words; a shorter text is one shingle; a
 text without words, or null, has no shingles and no links.  Components are named by their
@@ -22,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import column, components, sliced, written
 from .words import Words, mixed, span_hashes, windows
 
 SHINGLE, TABLES, HALF = 5, 9, 3
-_LAST = (1 << 63) - 1
+#: Classes of one block; a task holds the sets of two blocks at once.
+BLOCK = 128
 
 
 def _constants(n: int, seed: int = 1) -> np.ndarray:
@@ -82,84 +84,111 @@ def signatures(docs: DataFrame, tables: int = TABLES, half: int = HALF, shingle:
     return plain.mapInArrow(sign, "doc_id long, n_shingles long, node binary, a array<long>, b array<long>")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the nodes asked for, from the text of a class's first document."""
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(s, node, shingles) of the classes asked for by s, from the texts that name them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = list(shingle_sets(column(batch, "text"), shingle))
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+            full = [k for k, s in enumerate(sets) if len(s)]
+            ids = column(batch, "doc_id").take(pa.array(full, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([_digest(sets[k]) for k in full], pa.binary()), pa.array([sets[k].tobytes() for k in full], pa.binary())], ["doc_id", "node", "shingles"])
 
-    ids = nodes.select(F.col("first_id").alias("doc_id"), F.col("node").alias("asked"))
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col("text").cast("string"))
-    found = plain.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(make, "node binary, shingles binary")
-    return found.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
-
-
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets are alike enough."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(_sets(docs, nodes.join(classes.select("node", "first_id"), "node"), shingle), "minhash-sets")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (column(batch, c).to_pylist() for c in ("a", "b", "x", "y"))
-            good = []
-            for p, q in zip(x, y, strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            keep = [k for k, g in enumerate(good) if g]
-            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in keep], pa.binary()) for c in (a, b)], ["a", "b"])
-
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(confirm, "a binary, b binary"), "minhash-links")
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    named = plain.join(wanted.select(F.col("s").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    made = named.unionByName(plain.where("doc_id is null")).mapInArrow(make, "doc_id long, node binary, shingles binary")
+    return made.select(_name(), "node", "shingles").groupBy("s", "node").agg(F.any_value("shingles").alias("shingles"))
+
+
+def _name() -> Column:
+    """What a class goes by in buckets: its least doc_id.  Two classes with the same one are
+    compared together wherever either is."""
+    return F.coalesce("doc_id", F.xxhash64("node")).alias("s")
+
+
+def _forest(nodes: list[bytes], sets: list[np.ndarray], percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links that connect what the alike sets among these connect."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    elements, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = seen > 1
+    number = np.cumsum(shared) - 1
+    owner, at = owner[shared[at]], number[at[shared[at]]]
+    both = np.zeros((len(sets), len(sets)), np.float64)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for low in range(0, int(shared.sum()), 4096):
+        some = slice(*np.searchsorted(at, [low, low + 4096]))
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[owner[some], at[some] - low] = 1
+        both += has @ has.T
+    alike = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    left = np.ones(len(sets), bool)
+    for k in range(len(sets)):
+        if left[k]:
+            left[k], front = False, [k]
+            while front:
+                near = np.flatnonzero(alike[front].any(axis=0) & left)
+                left[near] = False
+                yield from ((nodes[j], nodes[k]) for j in near if nodes[j] != nodes[k])
+                front = near.tolist()
+
+
+def _compared(docs: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b) links among the classes s of each group g; a group holds two blocks at most."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        found = dict(zip(table.column("node").to_pylist(), table.column("shingles").to_pylist(), strict=True))
+        links = list(_forest(list(found), [np.frombuffer(s, np.uint64) for s in found.values()], percent)) if len(found) > 1 else []
+        return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
+
+    rows = groups.join(_sets(docs, groups, shingle), "s")
+    return written(rows.select("g", "node", "shingles").groupBy("g").applyInArrow(compare, "a binary, b binary"), "minhash-links")
+
+
+def _around_hubs(members: DataFrame) -> DataFrame:
+    """(g, s): each class with the least class of its buckets, in blocks around that."""
+    first = written(members.where("s <> lo").groupBy("s").agg(F.min("lo").alias("hub")), "minhash-hubs")
+    blocks = first.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    group = lambda k: F.xxhash64("hub", k).alias("g")
+    others = first.join(blocks, "hub").select(group(F.pmod(F.xxhash64("s"), "blocks").cast("int")), "s")
+    hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    return written(others.unionByName(hubs.select(group(F.col("k")), F.col("hub").alias("s"))), "minhash-groups")
+
+
+def _whole_buckets(members: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(g, s): buckets that hold several components, cut by size and to pairs of blocks."""
+    top = classes.join(roots, "node", "left").groupBy("s").agg(
+        F.min(F.coalesce("root", "node")).alias("r"), F.max(F.coalesce("root", "node")).alias("t"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")
+    )
+    at = written(members.select("key", "s").join(top, "s"), "minhash-rooted")
+    buckets = at.groupBy("key").agg(F.min("r").alias("r"), F.max("t").alias("t"), F.count("*").alias("n"), F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("sum"))
+    # buckets of the same classes are one
+    buckets = written(buckets.where("r <> t").groupBy("n", "sum").agg(F.min("key").alias("key")).select("key"), "minhash-mixed")
+    level = lambda c: F.floor(F.log(F.col(c)) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
+    sized = at.join(buckets, "key").select("key", "s", F.explode(F.sequence(level("least"), level("most") + 1)).alias("level"))
+    blocks = sized.groupBy("key", "level").agg(F.count("*").alias("n")).where("n > 1").select("key", "level", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = sized.join(written(blocks, "minhash-blocks"), ["key", "level"]).withColumn("own", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return written(paired.select(F.xxhash64("key", "level", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "s"), "minhash-groups")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = TABLES, half: int = HALF, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     signed = written(signatures(docs, tables, half, shingle), "minhash-signatures")
-    with_words = signed.where("node is not null").withColumn("first_id", F.coalesce("doc_id", F.lit(_LAST)))
-    classes = written(with_words.groupBy("node").agg(F.min("first_id").alias("first_id"), F.any_value("a").alias("a"), F.any_value("b").alias("b")), "minhash-classes")
+    same = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "a", "b")))
+    classes = written(same.select("*", _name()), "minhash-classes")
     keys = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, x, j, y))))
-    # in buckets a class goes by its least doc_id; two classes with the same one are both asked for
-    keyed = classes.select(F.col("first_id").alias("s"), F.explode(keys).alias("key"))
-    shared = written(keyed.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo < hi"), "minhash-buckets")
+    keyed = classes.select("s", F.explode(keys).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.min("s").alias("lo"), F.count("*").alias("n")).where("n > 1").select("key", "lo"), "minhash-buckets")
     members = written(keyed.join(shared, "key"), "minhash-members")
-    name = written(classes.select(F.col("first_id").alias("s"), "node", "first_id"), "minhash-names")
-
-    def by_node(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        pairs = pairs.join(name.select(F.col("s").alias("p"), F.col("node").alias("a")), "p").join(name.select(F.col("s").alias("q"), F.col("node").alias("b")), "q")
-        return written(pairs.select("a", "b"), "minhash-pairs")
-
-    # one pair for each class: with the least class that it shares a bucket with
-    first = members.where("s <> lo").groupBy(F.col("s").alias("q")).agg(F.min("lo").alias("p"))
-    links = _confirmed(docs, by_node(first.select("p", "q")), name, shingle, percent)
+    links = _compared(docs, _around_hubs(members), shingle, percent)
     roots = components(links, "minhash")
-    for hub in ("lo", "hi", None):
-        top = written(name.join(roots, "node", "left").select("s", F.coalesce("root", "node").alias("root")), "minhash-roots")
-        at = members.join(top, "s")
-        # buckets whose members are not all connected yet
-        mixed_keys = at.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("t")).where("r <> t").select("key")
-        mixed_keys = written(mixed_keys, "minhash-mixed")
-        members = written(members.join(mixed_keys, "key"), "minhash-members")
-        at = members.join(top, "s")
-        if hub:
-            hubs = top.select(F.col("s").alias(hub), F.col("root").alias("hub_root"))
-            pairs = at.where(f"s <> {hub}").join(hubs, hub).where("root <> hub_root").select(F.least("s", hub).alias("p"), F.greatest("s", hub).alias("q"))
-        else:
-            rest = at.where("s <> lo and s <> hi")
-            left, right = rest.select("key", F.col("s").alias("p"), F.col("root").alias("r")), rest.select("key", F.col("s").alias("q"), F.col("root").alias("t"))
-            pairs = left.join(right, "key").where("p < q and r <> t").select("p", "q")
-        more = _confirmed(docs, by_node(pairs), name, shingle, percent)
-        if more.limit(1).count():
-            links = links.union(more)
-            roots = components(links, "minhash")
-    ids = written(roots.join(name, "node").groupBy("root").agg(F.min("first_id").alias("least")), "minhash-least")
-    least = written(roots.join(ids, "root").select("node", "least"), "minhash-components")
-    own = name.select("node", "first_id").join(least, "node", "left").select("node", F.coalesce("least", "first_id").alias("least"))
-    out = signed.join(written(own, "minhash-labels"), "node", "left")
-    component = F.when(F.col("least") == _LAST, F.lit(None)).otherwise(F.coalesce("least", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    more = _compared(docs, _whole_buckets(members, classes, roots, percent), shingle, percent)
+    if more.limit(1).count():
+        roots = components(links.union(more), "minhash")
+    own = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labels = written(own.join(least, "root").select("node", "component_id"), "minhash-labels")
+    out = signed.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
