@@ -106,8 +106,8 @@ def _name() -> Column:
     return F.coalesce("doc_id", F.xxhash64("node")).alias("s")
 
 
-def _forest(nodes: list[bytes], sets: list[np.ndarray], percent: int) -> Iterator[tuple[bytes, bytes]]:
-    """Links that connect what the alike sets among these connect."""
+def _forest(nodes: list[bytes], sets: list[np.ndarray], roots: list[bytes], percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links that connect what the alike sets among these connect, but for those of one root."""
     sizes = np.array([len(s) for s in sets], np.int64)
     elements, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -123,54 +123,70 @@ def _forest(nodes: list[bytes], sets: list[np.ndarray], percent: int) -> Iterato
         has[owner[some], at[some] - low] = 1
         both += has @ has.T
     alike = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    left = np.ones(len(sets), bool)
-    for k in range(len(sets)):
+    names, which = np.unique(np.array(roots, object), return_inverse=True)
+    joined = np.zeros((len(names), len(names)), bool)
+    one = np.array([np.flatnonzero(which == k)[0] for k in range(len(names))])
+    x, y = np.nonzero(alike)
+    joined[which[x], which[y]] = True
+    left = np.ones(len(names), bool)
+    for k in range(len(names)):
         if left[k]:
             left[k], front = False, [k]
             while front:
-                near = np.flatnonzero(alike[front].any(axis=0) & left)
+                near = np.flatnonzero(joined[front].any(axis=0) & left)
                 left[near] = False
-                yield from ((nodes[j], nodes[k]) for j in near if nodes[j] != nodes[k])
+                yield from ((nodes[one[j]], nodes[one[k]]) for j in near)
                 front = near.tolist()
 
 
 def _compared(docs: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b) links among the classes s of each group g; a group holds two blocks at most."""
+    """(a, b) links among the classes s of each group g; a group holds two blocks at most.
+    Classes of one root are connected already."""
 
     def compare(table: pa.Table) -> pa.Table:
-        found = dict(zip(table.column("node").to_pylist(), table.column("shingles").to_pylist(), strict=True))
-        links = list(_forest(list(found), [np.frombuffer(s, np.uint64) for s in found.values()], percent)) if len(found) > 1 else []
+        found = {n: (np.frombuffer(s, np.uint64), r or n) for n, s, r in zip(*(table.column(c).to_pylist() for c in ("node", "shingles", "root")), strict=True)}
+        sets, roots = zip(*found.values(), strict=True)
+        links = list(_forest(list(found), list(sets), list(roots), percent)) if len(set(roots)) > 1 else []
         return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
     rows = groups.join(_sets(docs, groups, shingle), "s")
-    return written(rows.select("g", "node", "shingles").groupBy("g").applyInArrow(compare, "a binary, b binary"), "minhash-links")
+    return written(rows.select("g", "node", "root", "shingles").groupBy("g").applyInArrow(compare, "a binary, b binary"), "minhash-links")
 
 
-def _around_hubs(members: DataFrame) -> DataFrame:
-    """(g, s): each class with the least class of its buckets, in blocks around that."""
-    first = written(members.where("s <> lo").groupBy("s").agg(F.min("lo").alias("hub")), "minhash-hubs")
-    blocks = first.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+def _hubs(members: DataFrame) -> DataFrame:
+    """(s, hub): for each class the least one of its buckets."""
+    return written(members.where("s <> lo").groupBy("s").agg(F.min("lo").alias("hub")), "minhash-hubs")
+
+
+def _around_hubs(hubs: DataFrame) -> DataFrame:
+    """(g, s, root): each class with its hub, in blocks around that.  Nothing has a root yet."""
+    blocks = hubs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     group = lambda k: F.xxhash64("hub", k).alias("g")
-    others = first.join(blocks, "hub").select(group(F.pmod(F.xxhash64("s"), "blocks").cast("int")), "s")
-    hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
-    return written(others.unionByName(hubs.select(group(F.col("k")), F.col("hub").alias("s"))), "minhash-groups")
-
-
-def _whole_buckets(members: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """(g, s): buckets that hold several components, cut by size and to pairs of blocks."""
-    top = classes.join(roots, "node", "left").groupBy("s").agg(
-        F.min(F.coalesce("root", "node")).alias("r"), F.max(F.coalesce("root", "node")).alias("t"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most")
-    )
-    at = written(members.select("key", "s").join(top, "s"), "minhash-rooted")
-    buckets = at.groupBy("key").agg(F.min("r").alias("r"), F.max("t").alias("t"), F.count("*").alias("n"), F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("sum"))
-    # buckets of the same classes are one
-    buckets = written(buckets.where("r <> t").groupBy("n", "sum").agg(F.min("key").alias("key")).select("key"), "minhash-mixed")
+    others = hubs.join(blocks, "hub").select(group(F.pmod(F.xxhash64("s"), "blocks").cast("int")), "s")
+    centres = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    both = others.unionByName(centres.select(group(F.col("k")), F.col("hub").alias("s")))
+    return written(both.withColumn("root", F.lit(None).cast("binary")), "minhash-groups")
+
+
+def _whole_buckets(members: DataFrame, hubs: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(g, s, root): buckets cut by size and to pairs of blocks, where they hold several
+    components and more than a class with its hub."""
+    root = F.coalesce("root", "node")
+    top = classes.join(roots, "node", "left").groupBy("s").agg(F.min(root).alias("r"), F.max(root).alias("t"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    top = written(top.join(hubs, "s", "left"), "minhash-tops")
     level = lambda c: F.floor(F.log(F.col(c)) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    sized = at.join(buckets, "key").select("key", "s", F.explode(F.sequence(level("least"), level("most") + 1)).alias("level"))
-    blocks = sized.groupBy("key", "level").agg(F.count("*").alias("n")).where("n > 1").select("key", "level", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = sized.join(written(blocks, "minhash-blocks"), ["key", "level"]).withColumn("own", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
+    sized = members.select("key", "s").join(top, "s").select("key", "s", "r", "t", "hub", F.explode(F.sequence(level("least"), level("most") + 1)).alias("level"))
+    sized = written(sized, "minhash-sized")
+    print_ = F.sum(F.xxhash64("s").cast("decimal(38,0)")).alias("print")
+    groups = sized.groupBy("key", "level").agg(F.count("*").alias("n"), print_, F.min("r").alias("r"), F.max("t").alias("t"), F.min("s").alias("lo"), F.max(F.struct("s", "hub")).alias("last"))
+    groups = groups.where("r <> t and not (n = 2 and last.hub <=> lo)")
+    # groups of the same classes are one
+    groups = groups.groupBy("n", "print").agg(F.min(F.struct("key", "level")).alias("one")).select("one.*", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = sized.join(written(groups, "minhash-mixed"), ["key", "level"]).withColumn("own", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return written(paired.select(F.xxhash64("key", "level", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "s"), "minhash-groups")
+    # two classes by one name have roots of their own
+    known = F.when(F.col("r") == F.col("t"), F.col("r")).alias("root")
+    return written(paired.select(F.xxhash64("key", "level", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "s", known), "minhash-groups")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = TABLES, half: int = HALF, shingle: int = SHINGLE) -> DataFrame:
@@ -182,9 +198,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = TABLES, ha
     keyed = classes.select("s", F.explode(keys).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("s").alias("lo"), F.count("*").alias("n")).where("n > 1").select("key", "lo"), "minhash-buckets")
     members = written(keyed.join(shared, "key"), "minhash-members")
-    links = _compared(docs, _around_hubs(members), shingle, percent)
+    hubs = _hubs(members)
+    links = _compared(docs, _around_hubs(hubs), shingle, percent)
     roots = components(links, "minhash")
-    more = _compared(docs, _whole_buckets(members, classes, roots, percent), shingle, percent)
+    more = _compared(docs, _whole_buckets(members, hubs, classes, roots, percent), shingle, percent)
     if more.limit(1).count():
         roots = components(links.union(more), "minhash")
     own = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
