@@ -37,6 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Like `written`, dealt by the keys to one bucket for each shuffle partition: joins and
+    groups on the keys read the buckets and don't shuffle these rows again."""
+    spark, n = df.sparkSession, parallelism(df.sparkSession)
+    path = shared_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    rows = df.repartition(n, *keys).write.format("parquet").option("path", path).option("compression", "zstd")
+    rows.bucketBy(n, *keys).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"drop table {table}")  # the name alone: files at a given path stay
+    return found
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -9,7 +9,8 @@ twenty words.  Equal windows have equal anchors, so
 * a window can be repeated elsewhere only if other runs with its anchor exist, so single
   windows are hashed and counted only for the first run of each kind with such an anchor.
 
-The result is that of counting every window by itself.  Covered windows merge to maximal
+The result is that of counting every window by itself.  Texts are dealt to buckets by document
+once, where both later joins with them find them.  Covered windows merge to maximal
 intervals by document, and their words go.
 
 Words are unchanged.  A null text has none; one shorter than a window keeps all; null
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, sliced, written
+from .shared import bucketed, column, sliced, written
 from .words import Words, span_hashes, windows
 
 WINDOW, GRAM = 50, 8
@@ -71,8 +72,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_text": F.xxhash64(text)})
 
 
-def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """_doc, _text and spans: disjoint ascending (start, end) word intervals to remove."""
+def covered(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """_doc, _text and spans: disjoint ascending (start, end) word intervals to remove from
+    the texts of rows that have _doc and _text."""
 
     def all_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -80,15 +82,17 @@ def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
             own = [column(batch, c).take(pa.array(r.text.to_numpy())) for c in ("_doc", "_text")]
             yield pa.RecordBatch.from_arrays([*own, pa.array(r["first"].to_numpy(), pa.int32()), pa.array(r.n.to_numpy(), pa.int32()), pa.array(r.anchor.to_numpy()), pa.array(r.whole.to_numpy())], ["_doc", "_text", "first", "n", "anchor", "whole"])
 
-    keyed = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    slim = keyed.select("_doc", "_text", "text")
+    slim = keyed.select("_doc", "_text", F.col("text").cast("string").alias("text"))
     found = written(slim.mapInArrow(all_runs, "_doc long, _text long, first int, n int, anchor long, whole long"), "substring-runs")
-    # the earliest document of each kind of run, and anchors with runs of more than one kind
-    twice = written(found.groupBy("whole").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("lo < hi").select("whole", "lo"), "substring-repeated")
-    many = written(found.groupBy("anchor").agg(F.min("whole").alias("x"), F.max("whole").alias("y"), F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("x <> y and lo < hi").select("anchor"), "substring-anchors")
-    ranked = found.join(twice, "whole", "left")
+    # equal runs have equal anchors, so only runs with an anchor of several documents matter
+    anchors = found.groupBy("anchor").agg(F.min("whole").alias("x"), F.max("whole").alias("y"), F.min("_doc").alias("lo"), F.max("_doc").alias("hi"))
+    anchors = written(anchors.where("lo < hi").select("anchor", F.expr("x <> y").alias("several")), "substring-anchors")
+    shared = written(found.join(anchors, "anchor").drop("anchor"), "substring-shared")
+    # the earliest document of each kind of run
+    twice = written(shared.groupBy("whole").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("lo < hi").select("whole", "lo"), "substring-repeated")
+    ranked = written(shared.join(twice, "whole", "left").drop("whole"), "substring-ranked")
     gone = ranked.where("lo < _doc").select("_doc", "_text", "first", (F.col("first") + F.col("n") + window - 1).alias("end"))
-    open_ = ranked.where("lo is null or lo = _doc").join(many, "anchor", "left_semi")
+    open_ = ranked.where("several and (lo is null or lo = _doc)")
     by_doc = open_.groupBy("_doc", "_text").agg(F.collect_list(F.struct("first", "n")).alias("open"))
     with_text = slim.join(written(by_doc, "substring-open"), ["_doc", "_text"])
 
@@ -127,7 +131,9 @@ def _merged(spans: str):
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The rows of `docs` with n_words, n_removed and kept_text (kept words joined by a blank)."""
-    spans = covered(docs, window, gram)
+    plain = docs.drop("n_words", "n_removed", "kept_text", "spans")
+    keyed = bucketed(_keyed(plain), ["_doc", "_text"], "substring-texts")
+    spans = covered(keyed, window, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -147,9 +153,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     from pyspark.sql import types as T
 
-    plain = docs.drop("n_words", "n_removed", "kept_text", "spans")
     schema = T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return _keyed(plain).join(spans, ["_doc", "_text"], "left").select(*plain.columns, "_doc", "_text", "spans").mapInArrow(cut, schema)
+    return keyed.join(spans, ["_doc", "_text"], "left").select(*plain.columns, "_doc", "_text", "spans").mapInArrow(cut, schema)
 
 
 #: ASCII white space alone separates words (str.split() would also cut at others).
