@@ -5,10 +5,13 @@ what is left of it (its tail, below one window) is packed with other tails.  Tai
 by range of their rarest tokens, so that texts with rare words in common meet in one shard
 and a group of any size spreads over as many shards as it needs.  In a shard, each block of
 tails gets an inverted index; the first unused tail is the seed, BM25 ranks the unused ones
-for its heaviest terms, and they fill the window greedily, the last one cut to fit.  What is
-left of a cut tail stays in the pool, and what a block leaves goes to the next.  So every
-window of a shard is full but the last, whose ids go to sequences of power-of-two lengths,
-which need no padding either.
+for all its terms, and they fill the window greedily, the last one cut to fit.  What is left
+of a cut tail stays in the pool, and what a block leaves goes to the next.  So every window
+of a shard is full but the last, whose ids go to sequences of power-of-two lengths, which
+need no padding either.
+
+Known limit: a seed is scored against the tails of its block only, not against all tails.
+The README has the recall that this leaves.
 
 Document frequencies and the mean length cover all documents; they are broadcast, one number
 for each id of the vocabulary.  A null text is empty (the end id alone); null doc_ids stay
@@ -28,8 +31,6 @@ from .shared import column, parallelism, shared_path, sliced
 from .tokens import encoder
 
 K1, B = 1.2, 0.75
-#: Heaviest terms of a seed that are looked up in the index.
-QUERY_TERMS = 16
 #: Tails in one index block.
 BLOCK = 4096
 
@@ -96,7 +97,6 @@ class Pool:
         self._docs = np.repeat(np.arange(len(tails)), [len(t) for t in self._terms])[order]
         self._weights = np.concatenate(weights)[order]
         self._at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
-        self._idf = idf
 
     def seed(self) -> int | None:
         while self._first < len(self.tails) and not self.unused[self._first]:
@@ -104,12 +104,10 @@ class Pool:
         return self._first if self._first < len(self.tails) else None
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused tails by falling BM25 score for the seed's heaviest terms, ties in order,
-        then those without a term in common."""
-        terms = self._terms[seed]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self._idf[terms], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [(self._at[t], self._at[t + 1]) for t in terms.tolist()]
+        """Unused tails by falling BM25 score for all terms of the seed, ties in order, then
+        those without a term in common."""
+        terms = self._terms[seed].astype(np.int64)
+        spans = list(zip(self._at[terms].tolist(), self._at[terms + 1].tolist(), strict=True))
         scores = np.bincount(np.concatenate([self._docs[a:b] for a, b in spans]), np.concatenate([self._weights[a:b] for a, b in spans]), len(self.tails))
         scores[~self.unused] = 0
         near = np.flatnonzero(scores)
