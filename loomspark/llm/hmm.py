@@ -7,8 +7,9 @@ words (all words never seen share one such event), so the model gives every text
 probability.  The forward recursion, scaled at every step, gives its exact logarithm.
 
 Training is Baum-Welch: each task runs the forward and backward recursions over its training
-texts and returns expected transition and emission counts by class, which Spark sums; the
-starting point comes from a bounded number of texts, the counts from all.  For training,
+texts and returns expected transition and emission counts by class, which Spark sums.  It
+starts from random emissions around the class counts, and all training rows have part in
+every round, until one raises their log-likelihood by less than GAIN a token.  For training,
 texts are cut to segments of SEGMENT tokens; scoring never cuts one.
 
 Word counts cover all training texts.  Rare words' counts meet the texts by a join, frequent
@@ -34,7 +35,8 @@ from .words import Words, mixed
 OWN_CLASSES, SUFFIX_CLASSES, STATES = 32_768, 2_048, 8
 CLASSES = OWN_CLASSES + SUFFIX_CLASSES + 1
 END = CLASSES - 1
-ROUNDS, START_ROUNDS, START_ROWS = 2, 8, 400
+#: Baum-Welch ends with the round before which the log10-likelihood rose by less a token.
+GAIN = 0.001
 SEGMENT = 512
 SLOT_BITS = 19
 
@@ -178,8 +180,8 @@ def log_likelihood(model: Model, classes: np.ndarray, first: np.ndarray) -> np.n
     return result
 
 
-def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of starts, moves and emissions; `begins`: the sequence is the
+def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts of starts, moves and emissions, and the log10-likelihood; `begins`: the sequence is the
     beginning of a text (others go on in the middle, from the stationary states)."""
     lengths = np.diff(first)
     order, alive = _by_step(lengths)
@@ -211,7 +213,7 @@ def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, begins
     moves *= model.move
     starts = alphas[at[begins & (lengths[order] > 0)]].sum(axis=0, dtype=float)
     emitted = np.column_stack([np.bincount(classes, alphas[:, j], CLASSES) for j in range(k)])
-    return starts, moves, emitted
+    return starts, moves, emitted, float(np.log10(scales, dtype=float).sum())
 
 
 def _segments(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -265,50 +267,50 @@ def coded(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.mapInArrow(code, "row long, doc_id long, train boolean, n_tokens long, n_frequent long, own_log double, class_log double, classes binary, rare array<long>")
 
 
-def baum_welch(rows: DataFrame, model: Model, mass: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Rounds over all training rows; each brings CLASSES sums by state to the driver."""
+def baum_welch(rows: DataFrame, model: Model, mass: np.ndarray, gain: float = GAIN) -> Model:
+    """Rounds over all training rows, until the log-likelihood rises by less than `gain` a
+    token; each brings CLASSES sums by state to the driver."""
     spark, k = rows.sparkSession, len(model.start)
     names = [f"s{j}" for j in range(k)]
     schema = "kind int, at int, " + ", ".join(f"{n} double" for n in names)
-    for _ in range(rounds):
+    before = -np.inf
+    while True:
         shared = spark.sparkContext.broadcast(model)
 
         def expect(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            starts, moves, emitted = np.zeros((1, k)), np.zeros((k, k)), np.zeros((CLASSES, k))
+            starts, moves, emitted, fit = np.zeros((1, k)), np.zeros((k, k)), np.zeros((CLASSES, k)), np.zeros((1, k))
             for _, sequences in _portions(frames):
                 classes, first = _joined(sequences)
                 bounds, begins = _segments(classes, first)
-                for total, part in zip((starts, moves, emitted), expected_counts(shared.value, classes, bounds, begins), strict=True):
+                for total, part in zip((starts, moves, emitted, fit[:, 0]), expected_counts(shared.value, classes, bounds, begins), strict=True):
                     total += part
-            for kind, table in enumerate((starts, moves, emitted)):
+            for kind, table in enumerate((starts, moves, emitted, fit)):
                 at = np.flatnonzero(table.any(axis=1))
                 yield pd.DataFrame(table[at], columns=names).assign(kind=kind, at=at)[["kind", "at", *names]]
 
         sums = rows.where("train").select("classes").mapInPandas(expect, schema).groupBy("kind", "at").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-        tables = [np.zeros((n, k)) for n in (1, k, CLASSES)]
+        tables = [np.zeros((n, k)) for n in (1, k, CLASSES, 1)]
         for kind, table in enumerate(tables):
             part = sums[sums.kind == kind]
             table[part["at"].to_numpy(int)] = part[names].to_numpy(float)
+        shared.unpersist()
         model = Model.made(tables[0][0], tables[1], tables[2], mass)
-    return model
+        fit, tokens = tables[3][0, 0], tables[2].sum()
+        if fit - before <= gain * tokens:
+            return model
+        before = fit
 
 
-def first_guess(rows: DataFrame, mass: np.ndarray, states: int = STATES, seed: int = 3) -> Model:
-    """Where Baum-Welch begins: random emissions, moved by rounds over START_ROWS texts."""
+def first_guess(mass: np.ndarray, states: int = STATES, seed: int = 3) -> Model:
+    """Where Baum-Welch begins: random emissions around the class counts of all training rows."""
     rng = np.random.default_rng(seed)
     share = mass / mass.sum()
     emit = share[:, None] * np.exp(rng.normal(0, 1, (CLASSES, states)))
     move = np.full((states, states), 0.3 / states) + 0.7 * np.eye(states)
-    model = Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
-    some = rows.where("train and n_tokens > 8").orderBy(F.xxhash64("doc_id"), "row").limit(START_ROWS).select(F.substring("classes", 1, 2 * SEGMENT).alias("classes")).collect()
-    classes, first = _joined([bytes(r.classes) for r in some])
-    if len(classes):
-        for _ in range(START_ROUNDS):
-            model = Model.made(*expected_counts(model, classes, first, np.ones(len(first) - 1, bool)), mass)
-    return model
+    return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, states: int = STATES, gain: float = GAIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -318,7 +320,7 @@ def score(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFr
     lex = Lexicon.of(counts, ends)
     mass = lex.class_mass()
     rows = written(coded(plain, lex), "hmm-rows")
-    model = baum_welch(rows, first_guess(rows, mass, states), mass, rounds)
+    model = baum_welch(rows, first_guess(mass, states), mass, gain)
 
     rare = rows.select("row", F.explode("rare").alias("hash"))
     known = rare.join(counts.select("hash", "c"), "hash").groupBy("row").agg(F.sum(F.log10(F.col("c") + 0.5)).alias("rare_log"), F.count("*").alias("n_rare"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from loomspark.llm import packing
+from loomspark.llm import hmm, packing, queries
 
 
 def test_packing_ranks_by_all_terms_of_a_seed():
@@ -12,3 +12,15 @@ def test_packing_ranks_by_all_terms_of_a_seed():
     seed, many, one = np.arange(120), np.arange(60), np.concatenate([[119], np.full(59, 99)])
     tails = [[k, 0, t.astype("<u4"), len(t)] for k, t in enumerate((seed, one, many))]
     assert [k for k in packing.Pool(tails, idf, 80.0).neighbours(0) if k][:2] == [2, 1]
+
+
+def test_hmm_trains_until_the_likelihood_stops_rising(spark, monkeypatch):
+    """One more round over all training rows gains less than 0.001 a token."""
+    made, train = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda *a, **b: made.append((a, train(*a, **b))) or made[0][1])
+    queries.op2_hmm_scores(spark, "/root/testdata/sf0.001")
+    (rows, _, mass, *_), model = made[0]
+    classes, first = hmm._joined([bytes(r.classes) for r in rows.where("train").select("classes").collect()])
+    after = hmm.Model.made(*hmm.expected_counts(model, classes, *hmm._segments(classes, first))[:3], mass)
+    was, now = (hmm.log_likelihood(m, classes, first).sum() for m in (model, after))
+    assert now - was < 0.001 * len(classes)
