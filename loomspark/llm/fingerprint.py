@@ -4,7 +4,10 @@ A sketch keeps every hash of a five-word shingle below a fixed fraction of the h
 The fraction is the same for all documents, so sketches of parts merge to the sketch of the
 whole by a union, and the share of one sketch found in another estimates how much of a short
 document a long one contains.  Where no hash is below the threshold, the least one is kept,
-so that no text with words has an empty sketch; `merged` drops it again when it may.
+so that no text with words has an empty sketch; `merged` drops it again when it may.  Such a
+hash is above the threshold, where other sketches hold none, so it says nothing about shares:
+`containment` and `resemblance` of sketches are null there, and `compared` takes them from
+all hashes of both texts.
 
 Words are lower-cased.  A text of fewer than five words is one shingle; a null text is empty;
 a text without words has the empty sketch, is like another such text by 1 and like any other
@@ -42,7 +45,7 @@ def sketch(text: Column, fraction: float = FRACTION, shingle: int = SHINGLE) ->
         return F.transform(starts, lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(shingle)]))
 
     def retained(hs: Column) -> Column:
-        low = F.filter(hs, lambda h: h < F.lit(_threshold(fraction)))
+        low = F.filter(hs, lambda h: h < F.lit(_threshold(fraction))) if fraction < 1 else hs
         return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(hs)))
 
     none = F.array().cast("array<bigint>")
@@ -56,18 +59,32 @@ def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
 
 
-def _share(common: Column, of: Column, a: Column, b: Column) -> Column:
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(of == 0, 0.0).otherwise(common / of)
+def _least_only(sk: Column, fraction: float) -> Column:
+    """Whether the sketch has no retained hash, but the least one in their place."""
+    return F.coalesce(F.get(sk, 0) >= F.lit(_threshold(fraction)), F.lit(False))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller document's shingles that the other has too."""
-    return _share(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)), a, b)
+def _share(common: Column, of: Column, a: Column, b: Column, fraction: float) -> Column:
+    either = (F.size(a) == 0) | (F.size(b) == 0)
+    unknown = ~either & (_least_only(a, fraction) | _least_only(b, fraction)) if fraction < 1 else F.lit(False)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(of == 0, 0.0).when(~unknown, common / of)
 
 
-def resemblance(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity."""
-    return _share(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), a, b)
+def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated share of the smaller document's shingles that the other has too; null where
+    a sketch has no retained hash."""
+    return _share(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)), a, b, fraction)
+
+
+def resemblance(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    """Estimated Jaccard similarity; null where a sketch has no retained hash."""
+    return _share(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), a, b, fraction)
+
+
+def compared(a: Column, b: Column, text_a: Column, text_b: Column, measure) -> Column:
+    """`measure` (containment or resemblance) of two sketches, or of all hashes of their
+    texts where the sketches can't tell."""
+    return F.coalesce(measure(a, b), measure(sketch(text_a, 1), sketch(text_b, 1), 1))
 
 
 def spelled(sk: Column) -> Column:
@@ -82,10 +99,10 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sketch, edited, edited_sketch and next_sketch of every document, where
-    `edited` mixes it with the next document by doc_id."""
+    """doc_id, text, sketch, edited, edited_sketch, next_text and next_sketch of every document,
+    where `edited` mixes it with the next document by doc_id."""
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("sketch", sketch(F.col("text")))
     near = with_next(own, "doc_id", ["text"], ["text", "sketch"])
-    mixed = near.select("doc_id", "text", "sketch", F.col("next_row.sketch").alias("next_sketch"), edited(F.col("text"), F.col("next_row.text")).alias("edited"))
+    mixed = near.select("doc_id", "text", "sketch", F.col("next_row.text").alias("next_text"), F.col("next_row.sketch").alias("next_sketch"), edited(F.col("text"), F.col("next_row.text")).alias("edited"))
     return mixed.withColumn("edited_sketch", sketch(F.col("edited")))

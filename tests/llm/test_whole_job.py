@@ -24,3 +24,13 @@ def test_hmm_trains_until_the_likelihood_stops_rising(spark, monkeypatch):
     after = hmm.Model.made(*hmm.expected_counts(model, classes, *hmm._segments(classes, first))[:3], mass)
     was, now = (hmm.log_likelihood(m, classes, first).sum() for m in (model, after))
     assert now - was < 0.001 * len(classes)
+
+
+def test_short_texts_without_a_retained_hash_are_found_in_longer_ones(spark, tmp_path):
+    """Each text of five words is part of the long text after it; some have no hash below the threshold."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(2 * k + side, " ".join(words if side else words[k : k + 5])) for k in range(30) for side in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op3_scaled_sketches(spark, str(tmp_path)).where("doc_id % 2 = 0").collect()
+    without = [r for r in found if r.fingerprint[0] not in "89"]  # the lowest eighth of the range
+    assert without and all(r.near_next == 1.0 and abs(r.jaccard_next - 1 / 36) < 1e-12 for r in without)
