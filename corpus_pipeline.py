@@ -19,10 +19,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near-duplicates stays; null doc_ids stay."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = written(kept, "pipeline-kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """Of each group of near-duplicate rows the one of least doc_id stays, nulls last.  Texts
+    without words are like no other; of those that repeat with one doc_id one stays."""
+    key = "_row_key"
+    rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
+    found = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias(key), "n_shingles", "component_id")
+    alone = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    grouped = rows.select(key, "doc_id").join(found, key).select(key, "doc_id", alone.alias("alone"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("group"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(key)))
+    kept = grouped.groupBy("alone", "group").agg(least.alias("least")).select(F.col(f"least.{key}").alias(key))
+    return rows.join(written(kept, "pipeline-kept"), key, "left_semi").select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

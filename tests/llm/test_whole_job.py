@@ -34,3 +34,15 @@ def test_short_texts_without_a_retained_hash_are_found_in_longer_ones(spark, tmp
     found = queries.op3_scaled_sketches(spark, str(tmp_path)).where("doc_id % 2 = 0").collect()
     without = [r for r in found if r.fingerprint[0] not in "89"]  # the lowest eighth of the range
     assert without and all(r.near_next == 1.0 and abs(r.jaccard_next - 1 / 36) < 1e-12 for r in without)
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    """Rows that repeat, two texts with one doc_id, and copies without a doc_id."""
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, a), (3, b), (None, b + " end"), (4, c), (4, b), (None, c), (5, "no copy of this one"), (6, ""), (6, ""), (7, None), (None, ""), (None, "alone and without id")]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert kept.columns == ["doc_id", "text"]
+    want = [(1, a), (3, b), (4, c), (5, "no copy of this one"), (6, ""), (7, None), (None, ""), (None, "alone and without id")]
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
