@@ -16,7 +16,6 @@ no shard; repeated rows and repeated doc_ids are kept as they are; a null doc_id
 from __future__ import annotations
 
 import io
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -181,25 +180,25 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, bits: bool =
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        enc, end = encoder(vocabulary), np.array([end_id], "<u4")
+        enc = encoder(vocabulary)
         name = f"{folder}/shard-{context.partitionId():06d}.bp"
         system, path = _open(name)
         out = writer = None
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 4 << 20):
             if writer is None:
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(f"{path}.{context.taskAttemptId()}")
                 writer = ShardWriter(out, bits)
-            ids = column(batch, "doc_id").to_pylist()
-            for doc_id, packed in zip(ids, enc.encode([t or "" for t in column(batch, "text").to_pylist()]), strict=True):
-                writer.add(NULL_ID if doc_id is None else doc_id, np.concatenate([np.frombuffer(packed, "<u4"), end]))
+            ids, first = enc.encode_ended(column(batch, "text"), end_id)
+            for doc_id, a, b in zip(column(batch, "doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                writer.add(NULL_ID if doc_id is None else doc_id, ids[a:b])
         if writer is not None:
             n = writer.close()
             out.close()
             system.move(f"{path}.{context.taskAttemptId()}", path)
             yield pa.RecordBatch.from_pydict({"shard": [context.partitionId()], "path": [name], "n_ids": [n]})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     done = sorted(ordered.mapInArrow(write, "shard long, path string, n_ids long").collect())
     before, rows = 0, []
     for shard, path, n in done:
@@ -235,6 +234,3 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"])
     return out.astype({"doc_id": "Int64"})
 
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)

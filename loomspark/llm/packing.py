@@ -2,15 +2,16 @@
 
 Every document is tokenised whole and ends with an end id.  Its full windows stand alone;
 what is left of it (its tail, below one window) is packed with other tails.  Tails are dealt
-by range of their rarest tokens, so that texts with rare words in common meet in one shard
-and a group of any size spreads over as many shards as it needs.  In a shard, each block of
-tails gets an inverted index; the first unused tail is the seed, BM25 ranks the unused ones
-for all its terms, and they fill the window greedily, the last one cut to fit.  What is left
-of a cut tail stays in the pool, and what a block leaves goes to the next.  So every window
-of a shard is full but the last, whose ids go to sequences of power-of-two lengths, which
-need no padding either.
-
-Known limit: a seed is scored against the tails of its block only, not against all tails.
+to shards of about SHARD by their two largest ids, so that texts with rare words in common
+meet; exact counts by those ids give the shards, and a cell of more than SHARD tails is spread
+by a hash.  A shard has an inverted index of its tails; the first unused one is the seed, BM25
+ranks the unused ones for all its terms, and they fill the window greedily, the last one cut
+to fit.  What is left of a cut tail stays in the pool.  So every window of a shard is full but
+the last, whose ids go to sequences of power-of-two lengths, which need no padding either.
+
+A shard's rows, their order and its sequences depend on the documents alone, so reruns agree.
+
+Known limit: a seed is scored against the tails of its shard only, not against all tails.
 The README has the recall that this leaves.
 
 Document frequencies and the mean length cover all documents; they are broadcast, one number
@@ -21,117 +22,163 @@ null; repeated rows are packed as often as they come; an empty table gives no pi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, parallelism, shared_path, sliced
+from .shared import column, parallelism, sliced, written
 from .tokens import encoder
 
 K1, B = 1.2, 0.75
-#: Tails in one index block.
-BLOCK = 4096
+#: Tails in one shard, about: at most twice as many, where counts are cut between cells.
+SHARD = 4096
+#: A cell: tails of one largest id, and of second largest ids that agree but for these bits.
+CELL_BITS = 12
+#: Seeds scored at once, and terms of a shard (the most frequent ones) whose weights are dense.
+SEEDS, DENSE = 64, 512
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def tokenised(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> DataFrame:
-    """Pieces of whole documents: full windows, and tails with their two rarest ids (the
-    largest: a BPE numbers its merges by falling frequency).  Full windows have null there."""
+    """Pieces of whole documents: full windows, and tails with their two largest ids (a BPE
+    numbers its merges by falling frequency).  Full windows have null there.  A task adds one
+    row with a start of -1: how many of its pieces hold each id."""
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "rare", "rare2"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(vocabulary), end_id.to_bytes(4, "little")
-        for batch in sliced(batches, "text"):
-            rows = []
-            for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), enc.encode([t or "" for t in column(batch, "text").to_pylist()]), strict=True):
-                ids += end
-                n = len(ids) // 4
-                for start in range(0, n, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    rare = (None, None)
-                    if len(piece) < 4 * window:
-                        top = np.unique(np.frombuffer(piece, "<u4"))[-2:].tolist()
-                        rare = (top[-1], top[0])
-                    rows.append((doc_id, start, len(piece) // 4, piece, n, *rare))
-            names = ["doc_id", "start", "length", "ids", "doc_tokens", "rare", "rare2"]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        enc, held = encoder(vocabulary), Frequencies()
+        for batch in sliced(batches, "text", 4 << 20):
+            ids, first = enc.encode_ended(column(batch, "text"), end_id)
+            sizes = np.diff(first)
+            pieces = -(-sizes // window)
+            doc = np.repeat(np.arange(len(sizes)), pieces)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            begin, length = first[doc] + start, np.minimum(sizes[doc] - start, window)
+            for a, n in zip(begin.tolist(), length.tolist(), strict=True):
+                held.add(ids[a : a + n])
+            rare = np.maximum.reduceat(ids, begin)
+            rare2 = np.maximum.reduceat(np.where(ids == np.repeat(rare, length), 0, ids), begin)
+            packed = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * np.concatenate([begin, [len(ids)]])), pa.py_buffer(ids)])
+            full = length == window
+            columns = [column(batch, "doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), packed.cast(pa.binary()), pa.array(sizes[doc]), pa.array(rare.astype(np.int32), mask=full), pa.array(rare2.astype(np.int32), mask=full)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, -1, 0, held.packed(), 0, None, None), types, strict=True)], names)
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return plain.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, rare int, rare2 int")
 
 
-def document_frequencies(pieces: DataFrame) -> DataFrame:
-    """(term, df): pieces that hold a term, over all of them."""
+class Frequencies:
+    """How many pieces hold each id."""
+
+    def __init__(self) -> None:
+        self._seen, self._bits, self._at = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint64), 0
+
+    def add(self, ids: np.ndarray) -> None:
+        if len(ids) and (most := int(ids.max())) >= len(self._seen):
+            self._seen, self._bits = (np.concatenate([x, np.zeros(most, x.dtype)]) for x in (self._seen, self._bits))
+        self._bits[ids] |= np.uint64(1 << self._at)  # a bit for each of 64 pieces
+        self._at += 1
+        if self._at == 64:
+            self._flush()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << 17, np.int64)
+    def _flush(self) -> None:
+        self._seen += np.bitwise_count(self._bits)
+        self._bits[:] = self._at = 0
+
+    def packed(self) -> bytes:
+        """Pairs of an id and its count."""
+        self._flush()
+        ids = np.flatnonzero(self._seen).astype("<u4")
+        return np.column_stack([ids, self._seen[ids]]).astype("<u4").tobytes()
+
+
+def document_frequencies(pieces: DataFrame) -> np.ndarray:
+    """Pieces that hold each id, over all of them; the tasks' counts are summed by id."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids in column(batch, "ids").to_pylist():
-                terms = np.unique(np.frombuffer(ids, "<u4"))
-                if len(terms) and terms[-1] >= len(seen):
-                    seen = np.concatenate([seen, np.zeros(int(terms[-1]), np.int64)])
-                seen[terms] += 1
-        terms = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(seen[terms])], ["term", "df"])
+            for counts in column(batch, "ids").to_pylist():
+                term, df = np.frombuffer(counts, "<u4").reshape(-1, 2).T.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df)], ["term", "df"])
 
-    return pieces.select("ids").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = pieces.where("start < 0").select("ids").mapInArrow(unpack, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(int(counted.term.max()) + 1 if len(counted) else 1)
+    df[counted.term] = counted.df
+    return df
 
 
 class Pool:
-    """A block of unused tails with its inverted index."""
+    """The unused tails of a shard with their inverted index."""
 
     def __init__(self, tails: list[list], idf: np.ndarray, mean: float) -> None:
         self.tails = tails  # [doc_id, start, ids, doc_tokens]
-        self.unused = np.ones(len(tails), bool)
+        n = self._n = len(tails)
+        self.unused = np.ones(n, bool)
         self._first = 0
-        self._terms, weights = [], []
-        for t in tails:
-            terms, tf = np.unique(t[2], return_counts=True)
-            self._terms.append(terms)
-            weights.append(idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(t[2]) / mean)))
-        flat = np.concatenate(self._terms)
-        order = np.argsort(flat, kind="stable")
-        self._docs = np.repeat(np.arange(len(tails)), [len(t) for t in self._terms])[order]
-        self._weights = np.concatenate(weights)[order]
-        self._at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
+        sizes = np.array([len(t[2]) for t in tails], np.int64)
+        flat = np.concatenate([t[2] for t in tails]).astype(np.uint64)
+        pairs, tf = np.unique(flat * np.uint64(n) + np.repeat(np.arange(n, dtype=np.uint64), sizes), return_counts=True)
+        terms, docs = (pairs // np.uint64(n)).astype(np.int64), (pairs % np.uint64(n)).astype(np.int64)
+        weights = (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / mean))).astype(np.float32)
+        # postings by term; the terms of most postings are rows of a dense matrix instead
+        df = np.bincount(terms, minlength=len(idf))
+        top = np.argsort(-df, kind="stable")[:DENSE]
+        row = np.full(len(idf), -1)
+        row[top] = np.arange(len(top))
+        dense = row[terms] >= 0
+        self._dense = np.zeros((len(top), n), np.float32)
+        self._dense[row[terms[dense]], docs[dense]] = weights[dense]
+        self._docs, self._weights = docs[~dense], weights[~dense]
+        self._at = np.concatenate([[0], np.cumsum(np.where(row >= 0, 0, df))])
+        # and terms by tail
+        order = np.argsort(docs, kind="stable")
+        self._terms, self._row, self._terms_at = terms[order], row[terms[order]], np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=n))])
+        self._scored: dict[int, np.ndarray] = {}
 
     def seed(self) -> int | None:
-        while self._first < len(self.tails) and not self.unused[self._first]:
+        while self._first < self._n and not self.unused[self._first]:
             self._first += 1
-        return self._first if self._first < len(self.tails) else None
+        return self._first if self._first < self._n else None
+
+    def scores(self, seeds: np.ndarray) -> np.ndarray:
+        """BM25 of every tail for all terms of each seed."""
+        n, sizes = len(seeds), np.diff(self._terms_at)[seeds]
+        which = np.repeat(np.arange(n), sizes)
+        at = np.repeat(self._terms_at[seeds] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(which))
+        terms, row = self._terms[at], self._row[at]
+        held = np.zeros((n, len(self._dense)), np.float32)
+        held[which[row >= 0], row[row >= 0]] = 1
+        begin, count = self._at[terms], self._at[terms + 1] - self._at[terms]
+        posting = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+        sparse = np.bincount(np.repeat(which, count) * self._n + self._docs[posting], self._weights[posting], n * self._n)
+        return held @ self._dense + sparse.reshape(n, self._n).astype(np.float32)
 
     def neighbours(self, seed: int) -> Iterator[int]:
-        """Unused tails by falling BM25 score for all terms of the seed, ties in order, then
-        those without a term in common."""
-        terms = self._terms[seed].astype(np.int64)
-        spans = list(zip(self._at[terms].tolist(), self._at[terms + 1].tolist(), strict=True))
-        scores = np.bincount(np.concatenate([self._docs[a:b] for a, b in spans]), np.concatenate([self._weights[a:b] for a, b in spans]), len(self.tails))
-        scores[~self.unused] = 0
-        near = np.flatnonzero(scores)
-        if len(near) > 48:  # mostly enough; the others follow
-            top = near[np.argpartition(-scores[near], 32)[:32]]
-            yield from top[np.argsort(-scores[top], kind="stable")].tolist()
-            scores[top] = 0
-            near = np.flatnonzero(scores)
-        yield from near[np.argsort(-scores[near], kind="stable")].tolist()
-        rest = self._first
-        while rest < len(self.tails):
-            if self.unused[rest]:
-                yield rest
-            rest += 1
-
-
-def fill(pool: Pool, window: int, total: int) -> Iterator[list[tuple]]:
-    """Full windows, as lists of (doc_id, start, ids, doc_tokens), while `total` ids last."""
+        """Unused tails by falling BM25 score for all terms of the seed, ties in order."""
+        if seed not in self._scored:  # the seeds to come are likely the next unused ones
+            ahead = np.concatenate([[seed], seed + 1 + np.flatnonzero(self.unused[seed + 1 : seed + 8 * SEEDS])[: SEEDS - 1]])
+            self._scored = dict(zip(ahead.tolist(), self.scores(ahead), strict=True))
+        scores = self._scored[seed]
+        scores[~self.unused] = -1
+        scores[seed] = -1
+        while scores[k := int(scores.argmax())] >= 0:
+            yield k
+            scores[k] = -1
+
+
+def fill(pool: Pool, window: int) -> Iterator[list[tuple]]:
+    """Full windows, as lists of (doc_id, start, ids, doc_tokens), while the pool's ids last."""
+    total = sum(len(t[2]) for t in pool.tails)
     while total >= window:
         seed = pool.seed()
         parts, room = [], window
-        for k in _chain(seed, pool.neighbours(seed)):
-            if not pool.unused[k]:
-                continue
+        for k in chain([seed], pool.neighbours(seed)):
             doc_id, start, ids, n = pool.tails[k]
             take = ids[:room]
             parts.append((doc_id, start, take, n))
@@ -146,15 +193,9 @@ def fill(pool: Pool, window: int, total: int) -> Iterator[list[tuple]]:
         yield parts
 
 
-def _chain(seed: int, others: Iterator[int]) -> Iterator[int]:
-    yield seed
-    for k in others:
-        if k != seed:
-            yield k
-
-
-def powers(tails: list[list]) -> Iterator[list[tuple]]:
+def powers(pool: Pool) -> Iterator[list[tuple]]:
     """What is left, cut freely to sequences of falling power-of-two lengths."""
+    tails = [t for t, free in zip(pool.tails, pool.unused, strict=True) if free]
     left = sum(len(t[2]) for t in tails)
     queue = [list(t) for t in reversed(tails)]
     while left:
@@ -171,60 +212,58 @@ def powers(tails: list[list]) -> Iterator[list[tuple]]:
         yield parts
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, shards: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0, shard: int = SHARD) -> DataFrame:
     """Pieces of all documents in sequences of at most `window` ids: doc_id, start (its
     document's ids before it), length, ids, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    path = shared_path(spark, "packing-pieces")
-    tokenised(docs, vocabulary, window, end_id).write.option("compression", "zstd").parquet(path)
-    pieces = spark.read.parquet(path)
-    counted = document_frequencies(pieces).collect()
-    size = max((r.term for r in counted), default=0) + 1
+    counted = written(tokenised(docs, vocabulary, window, end_id), "packing-pieces")
+    df, pieces = document_frequencies(counted), counted.where("start >= 0")
     stats = pieces.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
-    df = np.zeros(size)
-    for r in counted:
-        df[r.term] = r.df
     idf = spark.sparkContext.broadcast(np.log(1 + (stats.n - df + 0.5) / (df + 0.5)))
     mean = float(stats.mean or 1)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        base, made = TaskContext.get().partitionId() << 33, 0
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+        tails: list[list] = []
 
-        def rows(sequences: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
-            nonlocal made
-            out: list[list] = [[] for _ in names]
-            for parts in sequences:
+        def sequences(shard: int) -> Iterator[pa.RecordBatch]:
+            pool = Pool(tails, idf.value, mean)
+            rows = []
+            for made, parts in enumerate(chain(fill(pool, window), powers(pool))):
                 at = 0
                 for doc_id, start, ids, n in parts:
-                    for c, v in zip(out, (doc_id, start, len(ids), ids.tobytes(), n, 2 * (base + made) + 1, at), strict=True):
-                        c.append(v)
+                    rows.append((doc_id, start, len(ids), ids.tobytes(), n, 2 * ((shard << 24) + made) + 1, at))
                     at += len(ids)
-                made += 1
-            if made and out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(out, names, strict=True)], names)
-
-        waiting: list[list] = []
-
-        def block() -> Iterator[pa.RecordBatch]:
-            nonlocal waiting
-            pool = Pool(waiting, idf.value, mean)
-            yield from rows(fill(pool, window, sum(len(t[2]) for t in waiting)))
-            waiting = [t for t, free in zip(pool.tails, pool.unused, strict=True) if free]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for c, n in zip(zip(*rows, strict=True), names, strict=True)], names)
 
+        here = None
         for batch in batches:
-            for doc_id, start, ids, n in zip(*(column(batch, c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
-                waiting.append([doc_id, start, np.frombuffer(ids, "<u4"), n])
-                if len(waiting) >= BLOCK:
-                    yield from block()
-        if waiting:
-            yield from block()
-        yield from rows(powers(waiting))
+            columns = (column(batch, c).to_pylist() for c in ("shard", "doc_id", "start", "ids", "doc_tokens"))
+            for shard, doc_id, start, ids, n in zip(*columns, strict=True):
+                if shard != here and tails:
+                    yield from sequences(here)
+                    tails = []
+                here = shard
+                tails.append([doc_id, start, np.frombuffer(ids, "<u4"), n])
+        if tails:
+            yield from sequences(here)
 
     full = pieces.where("rare is null").withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    order = ["rare", "rare2", "doc_id", "start"]
-    tails = pieces.where("rare is not null").repartitionByRange(shards or parallelism(spark), *order).sortWithinPartitions(*order)
+    tails = dealt(pieces.where("rare is not null"), shard)
+    # a task has whole shards, wherever the range's sampled bounds fall
+    tails = tails.repartitionByRange(parallelism(spark), "shard").sortWithinPartitions("shard", "rare", "rare2", "doc_id", "start", "ids")
     names = [c.split()[0] for c in PIECES.split(", ")]
-    return full.select(names).union(tails.mapInArrow(packed, PIECES))
+    return full.select(names).union(tails.select("shard", "doc_id", "start", "ids", "doc_tokens").mapInArrow(packed, PIECES))
+
+
+def dealt(tails: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Tails with their shard: cells in order of their ids, cut by the tails before them.  There
+    are as many cells as pairs of an id and a range of ids, at most."""
+    cell = ["rare", F.shiftright("rare2", CELL_BITS).alias("near")]
+    cells = tails.groupBy(*cell).count().toPandas().sort_values(["rare", "near"])
+    before = cells["count"].cumsum() - cells["count"]
+    cells = cells.assign(shard=before // shard, parts=-(-cells["count"] // shard))[["rare", "near", "shard", "parts"]]
+    kinds = pa.schema([("rare", pa.int32()), ("near", pa.int32()), ("shard", pa.int64()), ("parts", pa.int64())])
+    table = F.broadcast(tails.sparkSession.createDataFrame(pa.Table.from_pandas(cells, kinds, preserve_index=False)))
+    some = F.pmod(F.xxhash64("doc_id", "start", "ids"), "parts")
+    return tails.withColumn("near", F.shiftright("rare2", CELL_BITS)).join(table, ["rare", "near"]).withColumn("shard", F.col("shard") + some)

@@ -3,23 +3,26 @@
 A byte-level BPE never merges across a pre-token.  A blank or newline after a non-space
 character starts one, and so does punctuation after a letter or digit.  A text can be cut
 there and each distinct piece encoded once by the library: the joined ids are those of the
-whole text.  Words repeat, so most pieces are found in a memo of bounded size.
+whole text.  Words repeat, so most pieces are found in a memo of bounded size; texts are cut,
+and pieces told apart, by Arrow's kernels, and ids are put together by array operations.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from itertools import repeat, takewhile
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces kept by one Python worker; about 200 bytes each.
-MEMO_PIECES = 800_000
+#: Pieces kept by one Python worker; about 150 bytes each.
+MEMO_PIECES = 1_000_000
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
-_STEM = re.compile(r"(\S*[^\W_])([.,;:!?*$%&#|)\]}\"]+)")
-_FOUR_BYTES = [k.to_bytes(4, "little") for k in range(1 << 17)]
+#: What starts a pre-token after a letter or digit, and is a piece of its own there.
+_TAIL = ".,;:!?*$%&#|)]}\""
 #: The letters by which byte-level vocabularies spell bytes: printable ones as they are,
 #: the others by the code points from 256 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -31,13 +34,62 @@ def _byte_letters(piece: str) -> str:
     return piece.replace(" ", _LETTERS[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()  # an order faster than to_pylist
+
+
+class Memo:
+    """Slots of pieces in order of arrival, by two names (AFTER a blank, or WHOLE): each is a span
+    of one array of ids, or hard where its piece can't be encoded by itself."""
+
+    def __init__(self, most: int) -> None:
+        self._most, self._n = most, 0
+        self.named: tuple[dict[str, int], dict[str, int]] = {}, {}
+        self._flat, self._ends, self._hard = np.zeros(1 << 16, np.uint32), np.zeros((1 << 14) + 1, np.int64), np.zeros(1 << 14, bool)
+
+    def add(self, kind: int, pieces: list[str], ids: list[list[int] | None]) -> None:
+        sizes = np.fromiter((len(x) if x else 0 for x in ids), np.int64, len(ids))
+        at, n, total = int(self._ends[self._n]), self._n + len(ids), int(sizes.sum())
+        while n > len(self._hard):
+            self._ends, self._hard = np.concatenate([self._ends, np.zeros_like(self._hard, np.int64)]), np.concatenate([self._hard, np.zeros_like(self._hard)])
+        while at + total > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        self._flat[at : at + total] = np.fromiter((i for x in ids if x for i in x), np.uint32, total)
+        self._ends[self._n + 1 : n + 1] = at + np.cumsum(sizes)
+        self._hard[self._n : n] = np.fromiter((x is None for x in ids), bool, len(ids))
+        self.named[kind].update(zip(pieces, range(self._n, n), strict=True))
+        self._n = n
+
+    def bound(self) -> None:
+        """Beyond the limit, the half met first stays: the frequent pieces are among them."""
+        if self._n > self._most:
+            n = self._n = self._most // 2
+            self.named = tuple(dict(takewhile(lambda x: x[1] < n, d.items())) for d in self.named)
+
+    def find(self, kind: int, pieces: list[str]) -> np.ndarray:
+        """Slots, -1 where there is none."""
+        return np.fromiter(map(self.named[kind].get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def is_hard(self, slots: np.ndarray) -> np.ndarray:
+        return self._hard[slots]
+
+    def joined(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the slots in order, and how many each has."""
+        begins = self._ends[slots]
+        sizes = self._ends[slots + 1] - begins
+        upto = np.cumsum(sizes)
+        return self._flat[np.repeat(begins - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)], sizes
+
+
+AFTER, WHOLE = 0, 1
+
+
 class Encoder:
-    """Encodes texts to little-endian unsigned 32-bit ids.  An empty text has no ids.
+    """Encodes texts to unsigned 32-bit ids.  An empty or null text has none.
 
-    Two memos: `_whole` has pieces as they are; `_after_blank` has, by the word alone, the
-    ids of a blank and the word (or of a newline and the word, if it starts with one).  A
-    word after which the next blank would not start a pre-token has None there, and texts
-    that hold one are cut by the slower pattern.
+    The memo has pieces WHOLE, as they are, and by the word alone those AFTER a blank (or after
+    a newline, if the word starts with one).  A word after which the next blank would not start
+    a pre-token is hard there, and texts that hold one are cut by the slower pattern.
     """
 
     def __init__(self, path: str, memo_pieces: int = MEMO_PIECES) -> None:
@@ -46,67 +98,87 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self._model = self._tokenizer.model
-        self._whole: dict[str, bytes] = {}
-        self._after_blank: dict[str, bytes | None] = {}
-        self._most = memo_pieces
+        self._memo = Memo(memo_pieces)
+        self._memo.add(WHOLE, [""], [[]])
+        self._nothing = 0  # the slot of the empty piece, the first one
 
-    def _learn(self, memo: dict, blank: str, missing: set[str]) -> None:
-        todo, stems = {}, {}
+    def _learn(self, kind: int, missing: list[str]) -> None:
+        blank, hard, words, others = " " if kind == AFTER else "", [], [], []
         for piece in missing:
             if blank and (not piece or piece[-1].isspace()):
-                memo[piece] = None
-            elif m := _STEM.fullmatch(piece):
-                stems[piece] = m.groups()
-            else:
-                todo[piece] = None
-        for stem, tail in stems.values():
-            if stem not in memo:
-                todo[stem] = None
-            if tail not in self._whole:
-                self._whole[tail] = self._ids([tail])[0]
-        words = []
-        for w in todo:
-            if w.isalpha():  # a single pre-token: the model alone will do
-                memo[w] = b"".join([_FOUR_BYTES[t.id] for t in self._model.tokenize(_byte_letters(blank + w))])
-            else:
-                words.append(w)
-        for k in range(0, len(words), 20_000):
-            some = words[k : k + 20_000]
-            memo.update(zip(some, self._ids([w if w[0] == "\n" else blank + w for w in some]), strict=True))
-        for piece, (stem, tail) in stems.items():
-            if memo[stem] is not None:
-                memo[piece] = memo[stem] + self._whole[tail]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _bounded(self, memo: dict) -> dict:
-        """The pieces met first are the frequent ones."""
-        return dict(islice(memo.items(), self._most // 2)) if len(memo) > self._most else memo
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        self._whole, self._after_blank = self._bounded(self._whole), self._bounded(self._after_blank)
-        whole, after = self._whole, self._after_blank
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        self._learn(whole, "", {parts[0] for parts in cut if parts[0]}.difference(whole))
-        self._learn(after, " ", set().union(*(set(parts[1:]).difference(after) for parts in cut)))
-        out: list[bytes | None] = []
-        for parts in cut:
-            rest = iter(parts)
-            first = next(rest)
-            try:
-                out.append((whole[first] if first else b"") + b"".join(map(after.__getitem__, rest)))
-            except TypeError:  # a None
-                out.append(None)
-            if first and first[-1].isspace():
-                out[-1] = None
-        if hard := [k for k, ids in enumerate(out) if ids is None]:
-            pieces = {k: [p for p in _CUT.split(texts[k]) if p] for k in hard}
-            self._learn(whole, "", set().union(*pieces.values()).difference(whole))
-            for k, p in pieces.items():
-                out[k] = b"".join(map(whole.__getitem__, p))
+                hard.append(piece)
+            else:  # a word of letters is a single pre-token: the model alone will do
+                (words if piece.isalpha() else others).append(piece)
+        self._memo.add(kind, hard, [None] * len(hard))
+        tokenize = self._model.tokenize
+        self._memo.add(kind, words, [[t.id for t in tokenize(_byte_letters(blank + w))] for w in words])
+        for k in range(0, len(others), 20_000):
+            some = others[k : k + 20_000]
+            self._memo.add(kind, some, self._ids([w if w[:1] == "\n" else blank + w for w in some]))
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _slots(self, kind: int, pieces: list[str]) -> np.ndarray:
+        slots = self._memo.find(kind, pieces)
+        if len(new := np.flatnonzero(slots < 0)):
+            missing = [pieces[k] for k in new.tolist()]
+            self._learn(kind, list(dict.fromkeys(missing)))
+            slots[new] = self._memo.find(kind, missing)
+        return slots
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and where each begins (one more at the end)."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._memo.bound()
+        texts = texts.fill_null("")
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        first = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        first, code = first - first[0], coded.indices.to_numpy()
+        opening = np.zeros(len(code), bool)
+        opening[first[:-1]] = True  # no blank comes before what opens a text
+        used = np.zeros(len(coded.dictionary), bool)
+        used[code[~opening]] = True
+        table = np.zeros((len(used), 2), np.int64)  # slots of a piece and of its tail
+        table[used] = self._pairs(AFTER, coded.dictionary.filter(pa.array(used)))
+        opens = coded.dictionary.take(pa.array(code[opening]))
+        slots = table[code]
+        slots[opening] = self._pairs(WHOLE, opens)
+        hard = self._memo.is_hard(table[:, 0])[code] & ~opening
+        hard[opening] = np.fromiter((p[-1:].isspace() for p in _strings(opens)), bool, len(opens))
+        slots, first = slots.ravel(), 2 * first
+        if hard.any():
+            slots, first = self._recut(texts, slots, first, np.add.reduceat(hard, first[:-1] // 2, dtype=np.int64) > 0)
+        ids, sizes = self._memo.joined(slots)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[first]
+
+    def _pairs(self, kind: int, pieces: pa.Array) -> np.ndarray:
+        """By piece, the slots of its stem and of the tail that may follow a letter or digit."""
+        stems = pc.ascii_rtrim(pieces, characters=_TAIL)
+        ends = pc.utf8_slice_codeunits(stems, -1).dictionary_encode()
+        letter = np.fromiter((e.isalnum() for e in ends.dictionary.to_pylist()), bool, len(ends.dictionary))[ends.indices.to_numpy()]
+        sizes = pc.utf8_length(stems).to_numpy()
+        tailed = letter & (pc.utf8_length(pieces).to_numpy() > sizes)
+        mine = pc.if_else(pa.array(tailed), stems, pieces).dictionary_encode()
+        out = np.full((len(pieces), 2), self._nothing)
+        out[:, 0] = self._slots(kind, _strings(mine.dictionary))[mine.indices.to_numpy()]
+        out[tailed, 1] = self._slots(WHOLE, [p[n:] for p, n in zip(_strings(pieces.filter(pa.array(tailed))), sizes[tailed].tolist(), strict=True)])
         return out
 
+    def _recut(self, texts: pa.Array, slots: np.ndarray, first: np.ndarray, hard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of all texts, with those of hard texts by the slower pattern."""
+        parts = np.split(slots, first[1:-1])
+        for k in np.flatnonzero(hard).tolist():
+            parts[k] = self._slots(WHOLE, [p for p in _CUT.split(texts[k].as_py()) if p])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def encode_ended(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Like `encode`, with an end id after each text."""
+        ids, first = self.encode(texts)
+        return np.insert(ids, first[1:], end_id), first + np.arange(len(first))
+
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file, made once."""
@@ -114,15 +186,3 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
-
-
-def batches(texts, most_chars: int = 2_000_000):
-    """Bounds of slices of a list of texts, of about so many characters each."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most_chars:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
