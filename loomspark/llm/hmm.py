@@ -149,71 +149,76 @@ class Model:
         return cls((start + 1) / (start.sum() + k), (move + 1) / (move.sum(1, keepdims=True) + k), emit / emit.sum(0))
 
 
-def _by_step(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by falling length, and how many sequences are at least t + 1 long, by t."""
-    order = np.argsort(-lengths, kind="stable")
-    most = int(lengths.max(initial=0))
-    alive = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(most), side="right")
-    return order, alive
+class Steps:
+    """Sequences side by side: tokens by step, and within one by falling length of their sequence."""
+
+    def __init__(self, first: np.ndarray) -> None:
+        self.lengths = np.diff(first)
+        self.order = np.argsort(-self.lengths, kind="stable")
+        most = int(self.lengths.max(initial=0))
+        #: by step, how many sequences have it
+        self.alive = len(self.lengths) - np.searchsorted(np.sort(self.lengths), np.arange(most), side="right")
+        begin = first[:-1][self.order]
+        self.tokens = np.concatenate([begin[:n] + t for t, n in enumerate(self.alive.tolist())]) if most else np.zeros(0, np.int64)
+        self.at = np.concatenate([[0], np.cumsum(self.alive)])
+
+    def __iter__(self) -> Iterator[tuple[int, int]]:
+        """Where the tokens of a step begin, and how many there are."""
+        return zip(self.at.tolist(), self.alive.tolist())  # noqa: B905
 
 
 def log_likelihood(model: Model, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """log10 probability of each class sequence by the scaled forward recursion."""
-    lengths = np.diff(first)
-    order, alive = _by_step(lengths)
-    at, out = first[:-1][order], np.zeros(len(lengths))
-    emit, move = model.emit, model.move
-    alpha = np.repeat(model.start[None], len(lengths), axis=0)
-    sums = np.ones(len(lengths))
-    for t, n in enumerate(alive.tolist()):
-        alpha = alpha[:n] @ move if t else alpha[:n]
-        alpha *= emit[classes[at[:n] + t]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        sums[:n] *= scale
-        if t % 16 == 15:  # products of 16 factors stay far above the least double
-            out[: len(sums)] += np.log10(sums)
-            sums[:] = 1
-    out += np.log10(sums)
-    result = np.empty(len(lengths))
-    result[order] = out
+    steps = Steps(first)
+    emit, move = np.ascontiguousarray(model.emit.T), model.move.T.copy()
+    scales, alpha = np.empty(len(steps.tokens)), np.repeat(model.start[:, None], len(steps.lengths), axis=1)
+    for t, (at, n) in enumerate(steps):
+        if t % 64 == 0:  # emissions of some steps at a time
+            base, to = at, int(steps.at[min(t + 64, len(steps.alive))])
+            emitted = emit[:, classes[steps.tokens[at:to]]]
+        alpha = move @ alpha[:, :n] if t else alpha[:, :n]
+        alpha = alpha * emitted[:, at - base : at - base + n]
+        scale = alpha.sum(axis=0)
+        alpha /= scale
+        scales[at : at + n] = scale
+    result = np.zeros(len(steps.lengths))
+    rank = np.concatenate([np.arange(n) for n in steps.alive.tolist()]) if len(steps.alive) else np.zeros(0, np.int64)
+    result[steps.order] = np.bincount(rank, np.log10(scales), len(steps.lengths))
     return result
 
 
 def expected_counts(model: Model, classes: np.ndarray, first: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Baum-Welch counts of starts, moves and emissions, and the log10-likelihood; `begins`: the sequence is the
     beginning of a text (others go on in the middle, from the stationary states)."""
-    lengths = np.diff(first)
-    order, alive = _by_step(lengths)
-    at, begins = first[:-1][order], begins[order]
-    k = len(model.start)
-    emit, move = model.emit.astype(np.float32), model.move.astype(np.float32)
+    steps, k = Steps(first), len(model.start)
+    begins = begins[steps.order]
+    move = model.move.astype(np.float32)
+    back = move.T.copy()
     rest = np.linalg.matrix_power(model.move, 64)[0].astype(np.float32)
-    alphas, scales = np.empty((len(classes), k), np.float32), np.empty(len(classes), np.float32)
-    alpha = np.where(begins[:, None], model.start[None].astype(np.float32), rest[None])
-    for t, n in enumerate(alive.tolist()):
-        alpha = alpha[:n] @ move if t else alpha[:n]
-        here = at[:n] + t
-        alpha = alpha * emit[classes[here]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        alphas[here], scales[here] = alpha, scale
-    moves = np.zeros((k, k))
-    beta = np.zeros((0, k), np.float32)
-    for t in range(len(alive) - 1, -1, -1):
-        n, went = int(alive[t]), len(beta)
-        here = at[:n] + t
+    seen = classes[steps.tokens]
+    emitted = np.ascontiguousarray(model.emit.T.astype(np.float32))[:, seen]
+    alphas, scales = np.empty((k, len(seen)), np.float32), np.empty(len(seen), np.float32)
+    alpha = np.where(begins, model.start[:, None].astype(np.float32), rest[:, None])
+    for t, (at, n) in enumerate(steps):
+        here = slice(at, at + n)
+        alpha = np.multiply(back @ alpha[:, :n] if t else alpha[:, :n], emitted[:, here], out=alphas[:, here])
+        scales[here] = alpha.sum(axis=0)
+        alpha /= scales[here]
+    emitted /= scales
+    moves, beta = np.zeros((k, k)), np.zeros((k, 0), np.float32)
+    for at, n in reversed(list(steps)):
+        went = beta.shape[1]
         if went:
-            after = here[:went] + 1
-            tail = beta * emit[classes[after]] / scales[after][:, None]
-            moves += alphas[here[:went]].T.astype(float) @ tail
-            beta = tail @ move.T
-        beta = np.concatenate([beta, np.ones((n - went, k), np.float32)]) if n > went else beta
-        alphas[here] *= beta
+            tail = beta * emitted[:, at + n : at + n + went]
+            moves += alphas[:, at : at + went] @ tail.T
+            beta = move @ tail
+        if n > went:
+            beta = np.concatenate([beta, np.ones((k, n - went), np.float32)], axis=1)
+        alphas[:, at : at + n] *= beta
     moves *= model.move
-    starts = alphas[at[begins & (lengths[order] > 0)]].sum(axis=0, dtype=float)
-    emitted = np.column_stack([np.bincount(classes, alphas[:, j], CLASSES) for j in range(k)])
-    return starts, moves, emitted, float(np.log10(scales, dtype=float).sum())
+    starts = alphas[:, : int(steps.alive[0])][:, begins[: int(steps.alive[0])]].sum(axis=1, dtype=float) if len(seen) else np.zeros(k)
+    counts = np.column_stack([np.bincount(seen, a, CLASSES) for a in alphas])
+    return starts, moves, counts, float(np.log10(scales, dtype=float).sum())
 
 
 def _segments(classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
