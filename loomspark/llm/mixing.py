@@ -8,7 +8,8 @@ Nothing is sorted, smaller targets select subsets of larger ones, and reruns agr
 
 The driver gets one row for each source and level.  A null text has no words; a null source
 is a source of its own, after all others; rows that are equal share a hash and are taken
-together; an empty table gives an empty mix; other columns stay.
+together; an empty table gives an empty mix; other columns stay, but those with the name of an
+output (mix_size, source_size, target, copies) give way to it.
 """
 
 from __future__ import annotations
@@ -16,20 +17,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_PATTERN, written
+from .shared import WORD_PATTERN, unused, without, written
 
 BITS, LEVELS = 12, 5
 #: Up to so many sources, thresholds are broadcast.
 BROADCAST_SOURCES = 10_000
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """Adds mix_size (words) and mix_hash (60 bits of an MD5 of id and text)."""
+OUTPUTS = ["mix_size", "source_size", "target", "copies"]
+
+
+def sized(docs: DataFrame, prefix: str = "mix_") -> DataFrame:
+    """Adds by name after the prefix: size (words), hash (60 bits of an MD5 of id and text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text)
     return docs.withColumns({
-        "mix_size": F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long"),
-        "mix_hash": F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"),
+        f"{prefix}size": F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long"),
+        f"{prefix}hash": F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"),
     })
 
 
@@ -59,11 +63,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     full = [1 if t > s else 0 for t, s in zip(targets, sizes, strict=True)]
     ends = _thresholds(slim, names, [t - f * s for t, f, s in zip(targets, full, sizes, strict=True)])
     rows = list(zip(names, sizes, targets, full, ends, strict=True))
-    table = spark.createDataFrame(rows, "mix_source string, source_size long, target double, passes int, below long")
+    own = unused("mix_", docs.columns)
+    named = [f"{own}{c}" for c in ("source", "source_size", "target", "passes", "below")]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(named, ("string", "long", "double", "int", "long"), strict=True)))
     if len(rows) <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    whole = sized(docs).join(table, F.col("source").eqNullSafe(F.col("mix_source")))
-    return whole.withColumn("copies", F.col("passes") + (F.col("mix_hash") < F.col("below")).cast("int")).drop("mix_source", "passes", "below", "mix_hash")
+    whole = sized(docs, own).join(table, F.col("source").eqNullSafe(F.col(f"{own}source")))
+    copies = F.col(f"{own}passes") + (F.col(f"{own}hash") < F.col(f"{own}below")).cast("int")
+    made = [F.col(f"{own}size"), F.col(f"{own}source_size"), F.col(f"{own}target"), copies]
+    return whole.select(*without(docs, OUTPUTS), *(c.alias(n) for c, n in zip(made, OUTPUTS, strict=True)))
 
 
 def _thresholds(slim: DataFrame, names: list, budgets: list[float]) -> list[int]:
