@@ -9,9 +9,11 @@ are pruned by their covering radii, taken as linked in whole where the radii pro
 otherwise opened; pairs of points are decided by their cosine in double precision.
 
 Each task returns links by point and a spanning forest of what it linked, not the pairs.
-Vectors that are null, zero, of null or non-finite components, or without a label link with
-nothing.  Vectors of different lengths don't link.  Repeated rows link with each other; with
-equal vec_ids they count as rows.  Extra columns are ignored.
+Points have numbers of their own, as vec_ids may repeat or be null.  Vectors that are null,
+zero, of null or non-finite components, or without a label link with nothing.  Vectors of
+different lengths don't link.  Repeated rows link with each other; with equal vec_ids they
+count as rows.  Rows with a null vec_id link like others and rank last: a component's id is
+null only if all of its vec_ids are.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -160,7 +162,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     # adding 0.0 makes -0.0 the same component as 0.0
     rows = vectors.where(_may_link()).select(F.col("vec_id").cast("long"), F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
     rows = written(rows, "cover-rows")
-    points = written(rows.groupBy(*same).agg(F.min("vec_id").alias("point"), F.count("*").alias("weight")).withColumn("h", F.xxhash64("label", "v")), "cover-points")
+    grouped = rows.groupBy(*same).agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    points = written(grouped.withColumns({"point": F.monotonically_increasing_id(), "h": F.xxhash64(*same)}), "cover-points")
     # pivots: points of least hash, one for each block's worth of points and PIVOTS at most
     pivots = points.orderBy("h", "point").limit(min(PIVOTS, -(-points.count() // block))).select("label", "v").collect()
     by_label: dict[str, list[np.ndarray]] = {}
@@ -170,15 +173,19 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            pivot, gaps, units = [], [], []
-            for label, v in zip(f.label, f.v, strict=True):
-                u = _unit(v)
-                units.append(u)
-                around = [(float(np.sqrt(((u - c) ** 2).sum())), k) for k, c in enumerate(shared.value.get(label, [])) if len(c) == len(u)]
-                gap, k = min(around, default=(2.0, -1))
-                gaps.append(gap)
-                pivot.append(k)
-            yield pd.DataFrame({"label": f.label, "dims": [len(u) for u in units], "cell": pivot, "gap": gaps, "point": f.point, "weight": f.weight, "h": f.h, "u": units})
+            units = np.array([_unit(v) for v in f.v] + [None], object)[:-1]
+            dims = np.array([len(u) for u in units])
+            cell, gap = np.full(len(f), -1), np.full(len(f), 2.0)
+            for label in set(f.label):
+                centres = shared.value.get(label, [])
+                for n in set(dims[f.label == label].tolist()):
+                    here = np.flatnonzero((f.label == label).to_numpy() & (dims == n))
+                    if fits := [k for k, c in enumerate(centres) if len(c) == n]:
+                        around = np.stack([centres[k] for k in fits])
+                        u = np.stack(units[here])
+                        nearest = (u @ around.T).argmax(axis=1)
+                        cell[here], gap[here] = np.array(fits)[nearest], np.sqrt(((u - around[nearest]) ** 2).sum(axis=1))
+            yield pd.DataFrame({"label": f.label, "dims": dims, "cell": cell, "gap": gap, "point": f.point, "weight": f.weight, "h": f.h, "u": units})
 
     dealt = written(points.select("label", "v", "point", "weight", "h").mapInPandas(deal, "label string, dims int, cell int, gap double, point long, weight long, h long, u array<double>"), "cover-dealt")
     cells = dealt.groupBy("label", "dims", "cell").agg(F.max("gap").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("parts"))
@@ -217,8 +224,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     found = written(both.groupBy("pair").applyInPandas(link, "a long, b long, n long"), "cover-links")
     counts = written(found.where("n > 0").groupBy(F.col("a").alias("point")).agg(F.sum("n").alias("n")), "cover-counts")
     roots = components(found.where("n = 0").select("a", "b"), "cover")
-    known = points.join(counts, "point", "left").join(roots, points.point == roots.node, "left")
-    known = written(known.select(*same, (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("root", "point").alias("root")), "cover-known")
+    known = written(points.join(roots, points.point == roots.node, "left").select(*same, "point", "weight", F.coalesce("root", "point").alias("root"), "least"), "cover-roots")
+    named = known.groupBy("root").agg(F.min("least").alias("component"))
+    known = known.join(named, "root").join(counts, "point", "left")
+    known = written(known.select(*same, (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n"), F.col("component").alias("root")), "cover-known")
     of_rows = rows.join(known, same).select("vec_id", "n", "root")
     usable = written(of_rows, "cover-result")
     rest = vectors.where(~_may_link()).select(F.col("vec_id").cast("long"), F.lit(0).cast("long").alias("n"), F.col("vec_id").cast("long").alias("root"))
