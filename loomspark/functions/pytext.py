@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What str.strip() and str.split() take for white space; Java's \\s misses some of it.
@@ -47,3 +47,9 @@ def first_wins(items: Column, key: Callable[[Column], Column], counts: Callable[
     """Items in order without those that count and whose key an earlier one had."""
     keys = F.transform(items, lambda x: F.when(counts(x), key(x)))
     return let(keys, lambda ks: F.filter(items, lambda x, i: F.get(ks, i).isNull() | (F.array_position(ks, F.get(ks, i)) == i + 1)))
+
+
+def each(df: DataFrame, keys: list[str], items: Column, place: str, name: str) -> DataFrame:
+    """keys, place (from 0) and item of every item.  An outer generator without its null rows: an
+    inner one gets a filter on the array's size, which computes the array twice."""
+    return df.select(*keys, F.posexplode_outer(items).alias(place, name)).where(F.col(place).isNotNull())

@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from .pytext import NOT_WS
+from .tokens import OTHER_PRICE, PRICES, SCALES
+
+_WORDS = f"regexp_count(t, r'{NOT_WS}+')"
+
+
+def _by_family(table, value, other: str) -> str:
+    """A CASE over a model's families, in order."""
+    held = lambda names: " or ".join(f"contains(lower(m), '{n}')" for n in names)
+    return "case " + " ".join(f"when {held(names)} then {value(v)}" for names, v in table) + f" else {other} end"
+
+
+_PLAIN = f"greatest(1, {_WORDS} * 130 div 100)"
+_SCALED = _by_family(SCALES, lambda percent: f"{_PLAIN} * {percent} div 100", _PLAIN)
 FUNCTIONS = {
-    "loom_word_count": ("t STRING", "BIGINT", "cast(regexp_count(coalesce(t, ''), '\\\\S+') as bigint)"),
-    "loom_tokens": ("t STRING", "BIGINT", "case when coalesce(t, '') = '' then 0 when regexp_count(t, '\\\\S+') = 0 then greatest(1, length(t) div 4) else greatest(1, regexp_count(t, '\\\\S+') * 130 div 100) end"),
-    "loom_price": ("m STRING", "DOUBLE", "case when lower(m) rlike 'gpt-4o|o1|o3' then 2.5e-6D when lower(m) like '%gpt-4%' then 3e-5D when lower(m) like '%claude%' then 3e-6D when lower(m) like '%gemini%' then 7.5e-8D else 1e-5D end"),
+    "loom_word_count": ("t STRING", "BIGINT", f"cast(coalesce({_WORDS}, 0) as bigint)"),
+    "loom_tokens": ("t STRING, m STRING DEFAULT 'gpt-4'", "BIGINT", f"case when coalesce(t, '') = '' then 0 when {_WORDS} = 0 then greatest(1, length(t) div 4) else {_SCALED} end"),
+    "loom_price": ("m STRING", "DOUBLE", _by_family(PRICES, lambda dollars: f"{dollars!r}D", f"{OTHER_PRICE!r}D")),
     "loom_saved": ("raw BIGINT, kept BIGINT", "BIGINT", "greatest(0, raw - kept)"),
 }
 

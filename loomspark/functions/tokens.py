@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .pytext import text, word_count
+from .pytext import let, text, word_count
 
 # Dollars for a token by model family, in order of matching, and the price of others.
 PRICES = ((("gpt-4o", "o1", "o3"), 2.5e-6), (("gpt-4",), 3e-5), (("claude",), 3e-6), (("gemini",), 7.5e-8))
@@ -36,12 +36,18 @@ def count_tokens(c: Column, model: Column | str = "gpt-4") -> Column:
     """1.3 tokens a word, scaled by family; a text of white space alone has a token for four
     characters, one at least; an empty or null text has none."""
     model = F.lit(model) if isinstance(model, str) else model
-    t, div = text(c), lambda a, b: F.floor(a / b).cast("long")
-    words = word_count(t).cast("long")
-    plain = F.greatest(F.lit(1).cast("long"), div(words * 130, 100))
-    scaled = _by_family(model, tuple((n, div(plain * percent, 100)) for n, percent in SCALES), plain)
-    blank = F.greatest(F.lit(1).cast("long"), div(F.length(t), 4))
-    return F.when(t == "", F.lit(0).cast("long")).when(words == 0, blank).otherwise(scaled)
+    div = lambda a, b: F.floor(a / b).cast("long")
+    one = F.lit(1).cast("long")
+
+    def scaled(plain: Column) -> Column:
+        return _by_family(model, tuple((n, div(plain * percent, 100)) for n, percent in SCALES), plain)
+
+    def counted(t: Column, words: Column) -> Column:
+        blank = F.greatest(one, div(F.length(t), 4))
+        some = let(F.greatest(one, div(words * 130, 100)), scaled)
+        return F.when(t == "", F.lit(0).cast("long")).when(words == 0, blank).otherwise(some)
+
+    return let(text(c), lambda t: let(word_count(t).cast("long"), lambda words: counted(t, words)))
 
 
 def byte_proxy(content: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pytext import NOT_WS, WS, let, strip, text
+from ..functions.pytext import NOT_WS, WS, each, let, strip, text
 
 MAX_WORDS = 350
 _HEADING = rf"(?Udm)^#+{WS}+.*$"
@@ -17,7 +17,7 @@ def pieces(c: Column) -> Column:
 
     def all_(t: Column) -> Column:
         between, headings = F.split(t, _HEADING, -1), F.regexp_extract_all(t, F.lit(_HEADING), 0)
-        paired = F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(headings, i), F.lit("")))))
+        paired = let(headings, lambda hs: F.flatten(F.transform(between, lambda x, i: F.array(x, F.coalesce(F.get(hs, i), F.lit(""))))))
         return F.filter(F.transform(paired, strip), lambda x: x != "")
 
     def piece(s: Column) -> Column:
@@ -76,8 +76,7 @@ def with_chunks(df: DataFrame, column: str, max_words: int = MAX_WORDS, out: str
 
 def sections(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, ord, level, title, words) of each heading and text."""
-    each = df.select(key, F.posexplode(pieces(F.col(column))).alias("ord", "p"))
-    return each.select(key, "ord", "p.level", "p.title", "p.words")
+    return each(df, [key], pieces(F.col(column)), "ord", "p").select(key, "ord", "p.level", "p.title", "p.words")
 
 
 def breadcrumbs(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -85,4 +84,4 @@ def breadcrumbs(df: DataFrame, key: str, column: str) -> DataFrame:
     heads = df.select(key, F.filter(pieces(F.col(column)), lambda p: p["level"] > 0).alias("h"))
     path = """transform(h, (x, i) -> array_join(transform(filter(slice(h, 1, i + 1), (y, j) ->
         not exists(slice(h, j + 2, i - j), z -> z.level <= y.level) and y.title <> ''), y -> y.title), ' > '))"""
-    return heads.select(key, F.posexplode(F.expr(path)).alias("ord", "path"))
+    return each(heads, [key], F.expr(path), "ord", "path")

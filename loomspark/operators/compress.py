@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pytext import WS, first_wins, let, lines, squeeze, strip, text
+from ..functions.pytext import WS, each, first_wins, let, lines, squeeze, strip, text
 
 # Fixed value: what marks a line as boilerplate, anywhere in it and in any case.
 BOILERPLATE = rf"(?iU)(page\s+\d+\s+of\s+\d+|confidential|copyright\s+©\s+\d{{4}}|all\s+rights\s+reserved|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\b\d+\s+of\s+\d+\b)"
@@ -48,7 +48,7 @@ def running_lines(c: Column) -> Column:
 def running_lines_of(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, line): the same over a table whose documents may be too long for an expression,
     as counts by document and line."""
-    ps = df.select(key, F.posexplode(pages(F.col(column))).alias("page", "p"))
+    ps = each(df, [key], pages(F.col(column)), "page", "p")
     n = ps.groupBy(key).agg(F.count("*").alias("n")).where(f"n >= {LEAST_PAGES}")
     sides = [ps.select(key, F.lit(k).alias("side"), F.explode(_margins(F.col("p"), last)).alias("line")) for k, last in enumerate((False, True))]
     counts = sides[0].union(sides[1]).groupBy(key, "side", "line").agg(F.count("*").alias("c"))
@@ -67,13 +67,6 @@ def strip_bloat(c: Column) -> Column:
     return let(text(c), lambda t: let(running_lines(t), lambda running: cleaned(t, running)))
 
 
-def long_line_repeats(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, pos) of repeated long lines, by a window: for documents of very many lines."""
-    each = df.select(key, F.posexplode(lines(text(F.col(column)))).alias("pos", "line")).where(F.length(strip(F.col("line"))) > LONG_LINE)
-    rank = F.row_number().over(Window.partitionBy(key, F.lower(squeeze(F.col("line"), ""))).orderBy("pos"))
-    return each.withColumn("rank", rank).where("rank > 1").select(key, "pos")
-
-
 _HEADING, _ITEM = rf"^{WS}*(#+){WS}+", rf"^({WS}*)([-*+]|[0-9]+\.){WS}+"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pytext import WS, let, strip, text
+from ..functions.pytext import WS, each, let, strip, text
 
 # Suffixes of organisations, names of technologies and places, months.
 SUFFIXES = ("Corp", "Corporation", "Inc", "LLC", "Ltd", "Group", "Holdings", "Solutions", "Systems", "Technologies", "University", "Institute")
@@ -53,7 +53,7 @@ def iso_date(c: Column) -> Column:
     return F.when(clean.rlike(r"(?U)^\d{4}-\d{2}-\d{2}\z"), clean).when(clean.rlike(spelled) & month.isNotNull(), iso).otherwise(text(c))
 
 
-def _found(t: Column, category: str) -> Column:
+def found(t: Column, category: str) -> Column:
     """name and context of every match: offsets are the running sum of what lies between."""
 
     def located(ms: Column, gaps: Column) -> Column:
@@ -81,7 +81,7 @@ def _entity(t: Column, m: Column, start: Column, category: str) -> Column:
 def entities(c: Column) -> Column:
     """All entities in order of category and place; of those with one name (in any case) and
     category, the first."""
-    all_ = lambda t: F.concat(*[_found(t, k) for k in PATTERNS])
+    all_ = lambda t: F.concat(*[found(t, k) for k in PATTERNS])
     key = lambda e: F.concat(F.lower(e["name"]), F.lit("\n"), e["category"])
 
     def once(es: Column) -> Column:
@@ -92,5 +92,4 @@ def entities(c: Column) -> Column:
 
 def exploded(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, ord, name, category, context)."""
-    each = df.select(key, F.posexplode(entities(F.col(column))).alias("ord", "e"))
-    return each.select(key, "ord", "e.name", "e.category", "e.context")
+    return each(df, [key], entities(F.col(column)), "ord", "e").select(key, "ord", "e.name", "e.category", "e.context")

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import byte_proxy, count_tokens, savings
+from ..functions.pytext import WS, let, strip, text
+from ..functions.tokens import count_tokens, savings
 from .chunk import MAX_WORDS, with_chunks
 from .compress import compressed
 from .entities import entities
@@ -66,12 +67,60 @@ def block_column(x0: Column, x1: Column, page_width: Column) -> Column:
     return F.when(x1 - x0 > page_width * 0.7, 0).when(x0 > page_width * 0.45, 1).otherwise(0)
 
 
-def pages_of_blocks(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_number, text_content): text blocks in reading order, joined by a blank line."""
-    place = F.struct(block_column(F.col("x0"), F.col("x1"), F.col("page_width")).alias("column"), "y0", "block_no", F.trim("text").alias("t"))
-    listed = blocks.where("block_type = 0").groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(place)).alias("b"))
-    shown = F.filter(F.transform("b", lambda b: b["t"]), lambda t: t != "")
-    return listed.select("doc_id", "page_number", F.array_join(shown, "\n\n").alias("text_content"))
+def linked(t: Column, links: Column) -> Column:
+    """The text with the first mention of each link's text (array of struct: text, uri) made a
+    Markdown link, white space in it matched loosely; a link that is there already is not repeated."""
+
+    def one(so_far: Column, link: Column) -> Column:
+        label = strip(text(link["text"]))
+        mark = F.concat(F.lit("["), label, F.lit("]("), link["uri"], F.lit(")"))
+        loose = F.array_join(F.transform(F.split(label, f"{WS}+", -1), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), f"{WS}+")
+        mention = F.coalesce(F.when(F.contains(so_far, label), label).otherwise(F.regexp_substr(so_far, loose)), F.lit(""))
+
+        def put(m: Column) -> Column:
+            at = F.instr(so_far, m)
+            return F.concat(F.substring(so_far, F.lit(1), at - 1), mark, F.substring(so_far, at + F.length(m), F.length(so_far)))
+
+        nothing = (label == "") | F.coalesce(F.contains(so_far, mark), F.lit(True))
+        return F.when(nothing, so_far).otherwise(let(mention, lambda m: F.when(m == "", so_far).otherwise(put(m))))
+
+    return F.aggregate(links, t, one)
+
+
+def overlaps(a: Column, b: Column) -> Column:
+    """Whether two boxes (x0, y0, x1, y1) have an area in common."""
+    side = lambda low, high: F.least(a[high], b[high]) > F.greatest(a[low], b[low])
+    return side("x0", "x1") & side("y0", "y1")
+
+
+def pages_of_blocks(blocks: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(doc_id, page_number, text_content): text blocks in reading order, joined by a blank line.
+
+    `links` (doc_id, page_number, link_no, x0, y0, x1, y1, text, uri) go into the blocks that
+    they lie on, in order of link_no; blocks need y1 for that.
+    """
+    key, box = ["doc_id", "page_number"], ["x0", "y0", "x1", "y1"]
+    place = F.struct(block_column(F.col("x0"), F.col("x1"), F.col("page_width")).alias("column"), "y0", "block_no", F.trim("text").alias("t"), *(["x0", "x1", "y1"] if links is not None else []))
+    listed = blocks.where("block_type = 0").groupBy(*key).agg(F.array_sort(F.collect_list(place)).alias("b"))
+    shown = F.transform("b", lambda b: b["t"])
+    if links is not None:
+        on_page = links.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("link_no", *box, "text", "uri"))).alias("l"))
+        none = F.array().cast(on_page.schema["l"].dataType)
+        listed = listed.join(on_page, key, "left").withColumn("l", F.coalesce("l", none))
+        shown = F.transform("b", lambda b: linked(b["t"], F.filter("l", lambda x: overlaps(b, x))))
+    return listed.select(*key, F.array_join(F.filter(shown, lambda t: t != ""), "\n\n").alias("text_content"))
+
+
+def found_table(rows: Column) -> Column:
+    """headers, rows and markdown_representation of a table found on a page: its first row is
+    the header, line ends become blanks, null is an empty cell."""
+    clean = F.transform(rows, lambda r: F.transform(r, lambda c: F.replace(strip(text(c)), F.lit("\n"), F.lit(" "))))
+
+    def parts(cells: Column) -> Column:
+        head, body = F.get(cells, 0), F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0)))
+        return F.struct(head.alias("headers"), body.alias("rows"), gfm_table(head, body).alias("markdown_representation"))
+
+    return F.when(F.size(rows) > 0, let(clean, parts))
 
 
 def normalize(df: DataFrame, name: str = "document_name", markdown: str = "markdown_raw", raw_bytes: str = "raw_bytes", options: Options = Options(), exact: bool = False) -> DataFrame:
@@ -87,10 +136,6 @@ def normalize(df: DataFrame, name: str = "document_name", markdown: str = "markd
     return out.withColumns({"metadata": meta, "metrics": metrics})
 
 
-def raw_tokens_of(content: Column) -> Column:
-    return byte_proxy(content)
-
-
 def with_reader(files: DataFrame, read: Callable[[bytes, str], str]) -> DataFrame:
     """Adds markdown_raw by a callable of the caller's, such as an OCR service, for rows that
     `dispatch` gave to the "ai" reader; what it raises becomes the row's error, status 500."""

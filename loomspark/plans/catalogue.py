@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tokens
+from ..functions.pytext import each
 from ..operators import chunk, compress, entities, package, prompt, rules
-from ..sources import web
+from ..sources import office, sinks, web
 from . import seeds
 
 MODELS = {"gpt4": "gpt-4", "gpt4o": "gpt-4o", "claude": "claude-3-5-sonnet", "gemini": "gemini-2.5-flash"}
@@ -181,7 +182,7 @@ _ENTITY_SQL = {
 
 def _entity_query(category: str) -> tuple[Query, str]:
     p, group, flags = _ENTITY_SQL[category]
-    some = lambda spark, d: docs(spark, d).select("doc_id", F.posexplode(entities.names(F.col("markdown"), category)).alias("ord", "name"))
+    some = lambda spark, d: each(docs(spark, d), ["doc_id"], entities.names(F.col("markdown"), category), "ord", "name")
     if flags:
         p = f"(?{flags}){p}"
     found = f"regexp_extract_all(markdown, {_quoted(p)}, {group})"
@@ -201,6 +202,14 @@ _DATES = "select doc_id, concat(case when doc_id % 3 = 0 then ' ' else '' end, c
 _PATHS = "select doc_id, concat('/in/file', doc_id, case doc_id % 7 when 0 then '.PDF' when 1 then '.docx' when 2 then '.pptx' when 3 then '.jpeg' when 4 then '.exe' when 5 then '' else '.webp' end) as path, case when doc_id % 11 = 0 then 0 else n_chars end as n_bytes from documents"
 _BLOCKS = "select doc_id div_ 10 as doc_id, cast(doc_id % 3 as int) as page_number, cast(doc_id % 10 as int) as block_no, cast((doc_id * 37) % 400 as double) as x0, cast((doc_id * 53) % 700 as double) as y0, cast((doc_id * 37) % 400 + 50 + (doc_id * 11) % 500 as double) as x1, concat(' block ', doc_id, ' ') as text, cast(case when doc_id % 13 = 0 then 1 else 0 end as int) as block_type, cast(600 as double) as page_width from documents"
 
+_LINKED = _BLOCKS.replace("' block ', doc_id, ' '", "' block ', doc_id, ' of block ', doc_id, ' '").replace(" as x1,", " as x1, cast((doc_id * 53) % 700 + 20 as double) as y1,")
+_LINKS = "select doc_id div_ 10 as doc_id, cast(doc_id % 3 as int) as page_number, doc_id as link_no, cast((doc_id * 37) % 400 as double) as x0, cast((doc_id * 53) % 700 as double) as y0, cast((doc_id * 37) % 400 + 50 as double) as x1, cast((doc_id * 53) % 700 + 20 as double) as y1, concat('block ', doc_id) as text, concat('https://site.example/', doc_id) as uri from documents where doc_id % 10 = 4"
+_ITEMS = """select concat('/in/', doc_id % 50, case when doc_id % 2 = 0 then '.docx' else '.pptx' end) as path, cast(1 as int) as page, cast(doc_id * 2 as int) as ord, case when doc_id % 2 = 0 then 'paragraph' else 'bullet' end as kind,
+  case (doc_id div 50) % 4 when 0 then 'Heading 1' when 1 then 'heading 2' when 2 then 'List Bullet 2' else 'Normal' end as style, cast((doc_id div 50) % 3 as int) as level, case when doc_id % 4 < 2 then concat(' ', source, ' ') else ' ' end as text,
+  cast(null as array<array<string>>) as rows, cast(null as struct<x0:double,y0:double,x1:double,y1:double>) as box, cast(null as string) as uri, cast(null as string) as error from documents
+  union all select concat('/in/', doc_id % 50, case when doc_id % 2 = 0 then '.docx' else '.pptx' end), cast(1 as int), cast(doc_id * 2 + 1 as int), 'table', null, null, null, array(array('name', 'n'), array(coalesce(source, ''), null)), null, null, null from documents where doc_id % 5 = 0"""
+_PAGES = "select doc_id div_ 4 as doc_id, cast(doc_id % 4 as int) as page_number, case when doc_id % 7 = 0 then null else source end as text_content from documents"
+
 
 def _dispatch_sql() -> str:
     kind = r"lower(regexp_extract(path, '[^/\\](\.[^./\\]+)$', 1))"
@@ -242,15 +251,18 @@ def _chunks_sql(source: str, words: int) -> str:
 def _chunk_query(words: int) -> tuple[Query, str]:
     def run(spark: SparkSession, d: str) -> DataFrame:
         some = docs(spark, d).select("doc_id", compress.compress_syntax(F.col("markdown")).alias("markdown"))
-        return chunk.with_chunks(some, "markdown", words).select("doc_id", F.posexplode("chunks").alias("ord", "chunk"))
+        return each(chunk.with_chunks(some, "markdown", words), ["doc_id"], F.col("chunks"), "ord", "chunk")
 
     sql = f"with s as ({seeds.DOCS}), m as (select doc_id, {_syntax_sql('markdown')} as markdown from s), {_chunks_sql('m', words)} select doc_id, unnest(chunks) as chunk, (generate_subscripts(chunks, 1) - 1)::int as ord from k"
     return run, sql
 
 
+def _package_input(spark: SparkSession, d: str) -> DataFrame:
+    return docs(spark, d).select("doc_id", F.concat(F.lit("doc"), "doc_id", F.lit(".docx")).alias("document_name"), F.col("markdown").alias("markdown_raw"), F.octet_length("markdown").alias("raw_bytes"))
+
+
 def _package_rows(spark: SparkSession, d: str) -> DataFrame:
-    some = docs(spark, d).select("doc_id", F.concat(F.lit("doc"), "doc_id", F.lit(".docx")).alias("document_name"), F.col("markdown").alias("markdown_raw"), F.octet_length("markdown").alias("raw_bytes"))
-    return package.normalize(some, options=package.Options(chunk_size=120))
+    return package.normalize(_package_input(spark, d), options=package.Options(chunk_size=120))
 
 
 def _build() -> dict[str, tuple[Query, str | None]]:
@@ -287,7 +299,7 @@ def _build() -> dict[str, tuple[Query, str | None]]:
         f"{_optimized_sql()} select prompt_id, optimized, techniques, {raw} as raw_tokens, {new} as markdown_tokens, greatest(0, {raw} - {new})::bigint as tokens_saved, (case when {_strip('prompt')} = '' then 400 else 200 end)::int as status from o",
     )
     q["technique_counts"] = (
-        lambda spark, d: optimized(spark, d).where("techniques <> ''").select(F.explode(F.split("techniques", "; ")).alias("technique")).groupBy("technique").agg(F.count("*").alias("n")),
+        lambda spark, d: each(prompt.optimize(prompts(spark, d)), [], F.col("techniques"), "ord", "technique").groupBy("technique").agg(F.count("*").alias("n")),
         f"{_optimized_sql()} select technique, count(*) as n from (select unnest(string_split(techniques, '; ')) as technique from o where techniques <> '') group by technique",
     )
     q["prompt_savings_by_role"] = (
@@ -307,11 +319,11 @@ def _build() -> dict[str, tuple[Query, str | None]]:
               select prompt_id, o as optimized, tokens_saved, (case when {count('prompt')} > 0 then floor(tokens_saved / {count('prompt')} * 100 + 0.5) else 0 end)::bigint as percentage from g""",
         )
     q["static_boilerplate"] = (
-        lambda spark, d: docs(spark, d).select("doc_id", F.explode(F.filter(F.split("markdown", "\n", -1), compress.is_boilerplate)).alias("line")),
+        lambda spark, d: each(docs(spark, d), ["doc_id"], F.filter(F.split("markdown", "\n", -1), compress.is_boilerplate), "ord", "line").select("doc_id", "line"),
         f"with s as ({seeds.DOCS}) select doc_id, unnest(list_filter({_lines('markdown')}, lambda v: {_boilerplate_sql('v')})) as line from s",
     )
     q["page_split"] = (
-        lambda spark, d: paged(spark, d).select("doc_id", F.posexplode(compress.pages(F.col("markdown"))).alias("page", "text")).select("doc_id", "page", F.md5("text").alias("text_md5")),
+        lambda spark, d: each(paged(spark, d), ["doc_id"], compress.pages(F.col("markdown")), "page", "text").select("doc_id", "page", F.md5("text").alias("text_md5")),
         f"with s as ({seeds.PAGED}), p as (select doc_id, regexp_split_to_array(markdown, '\\n+---\\n+') as ps from s), u as (select doc_id, unnest(ps) as t, (generate_subscripts(ps, 1) - 1)::int as page from p) select doc_id, page, md5(t) as text_md5 from u",
     )
     q["dynamic_headers"] = lambda spark, d: compress.running_lines_of(paged(spark, d), "doc_id", "markdown"), f"with s as ({seeds.PAGED}), {_running_ctes('s')} select doc_id, line from r"
@@ -338,7 +350,7 @@ def _build() -> dict[str, tuple[Query, str | None]]:
     q["entities_dedup"] = lambda spark, d: entities.exploded(docs(spark, d), "doc_id", "markdown"), None
     p = _ENTITY_SQL["Email"][0]
     q["entity_context"] = (
-        lambda spark, d: docs(spark, d).select("doc_id", F.posexplode(entities._found(F.col("markdown"), "Email")).alias("ord", "e")).select("doc_id", "ord", "e.name", "e.context"),
+        lambda spark, d: each(docs(spark, d), ["doc_id"], entities.found(F.col("markdown"), "Email"), "ord", "e").select("doc_id", "ord", "e.name", "e.context"),
         f"""with s as ({seeds.DOCS}), m as (select doc_id, markdown, regexp_extract_all(markdown, {_quoted(p)}) as ms, regexp_split_to_array(markdown, {_quoted(p)}) as gs from s),
           u as (select doc_id, markdown, ms, gs, unnest(ms) as name, generate_subscripts(ms, 1) as i from m),
           o as (select *, (coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::bigint as pos from u),
@@ -368,6 +380,37 @@ def _build() -> dict[str, tuple[Query, str | None]]:
         lambda spark, d: package.pages_of_blocks(spark.sql(_BLOCKS.replace("div_", "div").replace("from documents", "from {documents}"), documents=table(spark, d, "documents"))),
         f"with s as ({_BLOCKS.replace('div_', '//')}) select doc_id, page_number, string_agg(trim(text), chr(10) || chr(10) order by {column}, y0, block_no) as text_content from s where block_type = 0 group by all",
     )
+    q["pdf_links"] = (
+        lambda spark, d: package.pages_of_blocks(*(spark.sql(x.replace("div_", "div").replace("from documents", "from {documents}"), documents=table(spark, d, "documents")) for x in (_LINKED, _LINKS))),
+        f"""with s as ({_LINKED.replace('div_', '//')}), l as ({_LINKS.replace('div_', '//')}),
+          j as (select s.*, l.text as label, '[' || l.text || '](' || uri || ')' as mark from s left join l on s.doc_id = l.doc_id and s.page_number = l.page_number
+            and least(s.x1, l.x1) > greatest(s.x0, l.x0) and least(s.y1, l.y1) > greatest(s.y0, l.y0)),
+          t as (select *, trim(text) as body from j),
+          r as (select *, case when label is null or not contains(body, label) then body else substr(body, 1, instr(body, label) - 1) || mark || substr(body, instr(body, label) + length(label)) end as shown from t)
+          select doc_id, page_number, string_agg(shown, chr(10) || chr(10) order by {column}, y0, block_no) as text_content from r where block_type = 0 group by all""",
+    )
+    q["office_pages"] = (
+        lambda spark, d: office.pages(spark.sql(_ITEMS.replace("from documents", "from {documents}"), documents=table(spark, d, "documents"))).select(F.col("doc_id").alias("path"), "page_number", "text_content", "raw_size_bytes"),
+        f"""with s as (select concat('/in/', doc_id % 50, case when doc_id % 2 = 0 then '.docx' else '.pptx' end) as path, doc_id, coalesce(source, '') as source from documents),
+          i as (select path, doc_id, doc_id % 2 as slides, case when doc_id % 4 < 2 then {_strip("' ' || source || ' '")} else '' end as t, case (doc_id // 50) % 4 when 0 then '# ' when 1 then '## ' when 2 then '- ' else '' end as mark, (doc_id // 50) % 3 as level, source from s),
+          u as (select path, doc_id * 2 as ord, case when t = '' then null when slides = 0 then mark || t when level > 0 then repeat('  ', level) || '- ' || t else t end as shown from i
+            union all select path, doc_id * 2 + 1, '| name | n |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || {_strip("source")} || ' |  |' from i where doc_id % 5 = 0)
+          select path, 1::int as page_number, coalesce(string_agg(shown, chr(10) || chr(10) order by ord), '') as text_content, strlen(coalesce(string_agg(shown, chr(10) || chr(10) order by ord), ''))::bigint as raw_size_bytes from u group by path""",
+    )
+    q["joined_pages"] = (
+        lambda spark, d: package.joined_pages(spark.sql(_PAGES.replace("div_", "div").replace("from documents", "from {documents}"), documents=table(spark, d, "documents"))),
+        f"with s as ({_PAGES.replace('div_', '//')}) select doc_id, string_agg(coalesce(text_content, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_number) as markdown from s group by doc_id",
+    )
+    q["plain_metrics"] = (
+        lambda spark, d: package.normalize(_package_input(spark, d), options=package.Options(extract_entities=False, deduplicate_boilerplate=False, target_model="claude-3-5-sonnet")).select("doc_id", F.size("entities").cast("long").alias("n_entities"), "metrics.raw_tokens_estimate", "metrics.compressed_tokens", "metrics.tokens_saved"),
+        f"""with s as ({seeds.DOCS}), m as (select doc_id, markdown as raw, {_syntax_sql('markdown')} as t from s), n as (select *, {_tokens('t', 'claude')} as new, (strlen(raw) // 2)::bigint as old from m)
+          select doc_id, 0::bigint as n_entities, old as raw_tokens_estimate, new as compressed_tokens, greatest(0, old - new)::bigint as tokens_saved from n""",
+    )
+    q["scorecard"] = (
+        lambda spark, d: sinks.scorecard(package.normalize(_package_input(spark, d), options=package.Options(extract_entities=False, deduplicate_boilerplate=False))).select("raw", "new", "saved"),
+        f"""with s as ({seeds.DOCS}), m as (select (strlen(markdown) // 2)::bigint as raw, {_syntax_sql('markdown')} as t from s), n as (select raw, {_tokens('t')} as new from m)
+          select format('{{:,}}', sum(raw)::bigint) as raw, format('{{:,}}', sum(new)::bigint) as new, format('{{:,}}', sum(greatest(0, raw - new))::bigint) as saved from n""",
+    )
     q["package_metrics"] = (
         lambda spark, d: _package_rows(spark, d).select("doc_id", F.size("chunks").cast("long").alias("n_chunks"), F.md5("full_markdown").alias("markdown_md5"), "metrics.raw_tokens_estimate", "metrics.compressed_tokens", "metrics.tokens_saved"),
         f"""with s as ({seeds.DOCS}), {_bloat_sql('s')}, m as (select doc_id, {_syntax_sql('cleaned')} as markdown from b), {_chunks_sql('m', 120).replace('x as (', 'cx as (').replace('from x)', 'from cx)').replace('y as (', 'cy as (').replace('from y)', 'from cy)')}

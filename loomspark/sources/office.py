@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pytext import strip
-from ..operators.package import gfm_table
+from ..operators.package import found_table, linked, overlaps
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-ITEMS = "path string, page int, ord int, kind string, style string, level int, text string, rows array<array<string>>, error string"
+ITEMS = "path string, page int, ord int, kind string, style string, level int, text string, rows array<array<string>>, box struct<x0:double,y0:double,x1:double,y1:double>, uri string, error string"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -89,16 +89,22 @@ def pptx_items(content: bytes) -> Iterator[dict]:
 
 
 def pdf_items(content: bytes) -> Iterator[dict]:
-    """Text blocks by page, in the library's own geometry, as a caller's environment has it."""
+    """By page: text blocks in reading order, links and tables, in the library's own geometry, as
+    a caller's environment has it."""
     import fitz  # not a dependency: the row says so where it is missing
 
+    box = lambda r: dict(zip(("x0", "y0", "x1", "y1"), map(float, r[:4]), strict=True))
     with fitz.open(stream=content, filetype="pdf") as doc:
         for n, page in enumerate(doc, 1):
             wide = page.rect.width
-            blocks = [b for b in page.get_text("blocks") if b[6] == 0]
             side = lambda b, wide=wide: 0 if b[2] - b[0] > 0.7 * wide else int(b[0] > 0.45 * wide)
-            for b in sorted(blocks, key=lambda b: (side(b), b[1])):
-                yield {"page": n, "kind": "block", "text": b[4]}
+            for b in sorted((b for b in page.get_text("blocks") if b[6] == 0), key=lambda b: (side(b), b[1])):
+                yield {"page": n, "kind": "block", "text": b[4], "box": box(b)}
+            for link in page.get_links():
+                if link.get("kind") == fitz.LINK_URI and "uri" in link:
+                    yield {"page": n, "kind": "link", "text": page.get_text("text", clip=fitz.Rect(link["from"])), "uri": link["uri"], "box": box(link["from"])}
+            for t in page.find_tables():
+                yield {"page": n, "kind": "found_table", "rows": t.extract()}
 
 
 _READERS = {".docx": docx_items, ".pptx": pptx_items, ".pdf": pdf_items}
@@ -128,8 +134,7 @@ def _shown(kind: Column, style: Column, level: Column, text: Column, rows: Colum
     marks = F.lit("")
     for name, mark in reversed((("heading 1", "# "), ("heading 2", "## "), ("heading 3", "### "), ("list bullet", "- "), ("list number", "1. "))):
         marks = F.when(F.contains(s, F.lit(name)), mark).otherwise(marks)
-    cells = F.transform(rows, lambda r: F.transform(r, lambda c: F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("\n"), F.lit(" "))))
-    table = gfm_table(F.get(cells, 0), F.slice(cells, F.lit(2), F.greatest(F.size(cells) - 1, F.lit(0))))
+    table = found_table(rows)["markdown_representation"]
     indent = F.when(level > 0, F.concat(F.expr("repeat('  ', level)"), F.lit("- "), t)).otherwise(t)
     full = (
         F.when(kind == "slide", F.concat(F.lit("## Slide "), t)).when(kind == "title", F.concat(F.lit("### "), t)).when(kind == "bullet", indent)
@@ -139,8 +144,18 @@ def _shown(kind: Column, style: Column, level: Column, text: Column, rows: Colum
 
 
 def pages(found: DataFrame) -> DataFrame:
-    """doc_id (the path), page_number, text_content, raw_size_bytes and error of every page."""
-    shown = found.withColumn("shown", _shown(F.col("kind"), F.col("style"), F.col("level"), F.col("text"), F.col("rows")))
-    listed = shown.groupBy("path", "page").agg(F.array_sort(F.collect_list(F.when(F.col("shown").isNotNull(), F.struct("ord", "shown")))).alias("s"), F.max("error").alias("error"))
-    text = F.array_join(F.transform("s", lambda s: s["shown"]), "\n\n")
-    return listed.select(F.col("path").alias("doc_id"), F.col("page").alias("page_number"), text.alias("text_content"), "error").withColumn("raw_size_bytes", F.octet_length("text_content").cast("long"))
+    """doc_id (the path), page_number, text_content, tables, raw_size_bytes and error of every
+    page.  Links go into the blocks that they lie on; tables that were found on a page beside
+    its text stay apart from it."""
+    some = lambda test, *fields: F.array_sort(F.collect_list(F.when(test, F.struct(*fields))))
+    kind = F.col("kind")
+    shown = found.withColumn("shown", _shown(kind, F.col("style"), F.col("level"), F.col("text"), F.col("rows")))
+    listed = shown.groupBy("path", "page").agg(
+        some(F.col("shown").isNotNull() & ~kind.isin("link", "found_table"), "ord", "shown", "box").alias("s"),
+        some(kind == "link", "ord", "text", "uri", "box").alias("l"),
+        some((kind == "found_table") & (F.size("rows") > 0), "ord", "rows").alias("t"), F.max("error").alias("error"),
+    )
+    texts = F.transform("s", lambda s: linked(s["shown"], F.filter("l", lambda x: F.coalesce(overlaps(s["box"], x["box"]), F.lit(False)))))
+    tables = F.transform("t", lambda t: found_table(t["rows"]))
+    out = listed.select(F.col("path").alias("doc_id"), F.col("page").alias("page_number"), F.array_join(texts, "\n\n").alias("text_content"), tables.alias("tables"), "error")
+    return out.withColumn("raw_size_bytes", F.octet_length("text_content").cast("long"))

@@ -14,8 +14,10 @@ def write_json(df: DataFrame, path: str) -> None:
     as_json(df).write.text(path)
 
 
-def write_markdown(df: DataFrame, path: str, column: str = "full_markdown") -> None:
-    df.select(F.col(column).alias("value")).write.text(path)
+def write_markdown(df: DataFrame, path: str, name: str = "document_name", column: str = "full_markdown") -> None:
+    """A folder for each document, named after it, that holds its text alone; null names share
+    one.  Rows are dealt by name, so that a document's rows come from one task."""
+    df.select(F.col(name), F.col(column).alias("value")).repartition(name).write.partitionBy(name).text(path)
 
 
 def scorecard(df: DataFrame) -> DataFrame:

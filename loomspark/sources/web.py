@@ -1,8 +1,10 @@
-"""Raw web pages to Markdown: headings 1 to 3, paragraphs, list items and tables in order."""
+"""Raw web pages to Markdown: headings 1 to 3, paragraphs, list items and tables in order; of
+video and repository pages of two sites, the description or the list of files."""
 
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Elements that become parts of the text.
 PARTS = ("h1", "h2", "h3", "p", "li", "table")
+# How pages of two sites begin, by a part of their host's name.
+VIDEO, REPOSITORY = ("youtube.com", "YouTube Video Page: {}\n\nDescription:\n{}"), ("github.com", "GitHub Repository Context: {}\n\nFile Listings:\n{}")
 _HIDDEN = ("script", "style", "noscript", "template")
 _VOID = ("br", "img", "hr", "input", "meta", "link", "wbr")
 
@@ -20,8 +24,22 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title, self.parts, self._open, self._hidden, self._in_title = "", [], [], 0, False
+        self.areas: dict[str, str] = {}
+        self._inside: list[list] = []  # areas that are open: name, element, how often it is nested
+
+    def _area(self, tag: str, attrs: dict) -> str | None:
+        if attrs.get("id") == "description-inner":
+            return "description"
+        if tag == "table" and "files" in (attrs.get("class") or "").split():
+            return "files"
+        return "listing" if attrs.get("aria-labelledby") == "folders-and-files" else None
 
     def handle_starttag(self, tag, attrs):
+        for area in self._inside:
+            area[2] += area[1] == tag
+        if tag not in _VOID and (name := self._area(tag, dict(attrs))) and name not in self.areas:
+            self.areas[name] = ""
+            self._inside.append([name, tag, 1])
         if tag in _HIDDEN:
             self._hidden += 1
         elif tag == "title":
@@ -38,6 +56,9 @@ class _Page(HTMLParser):
             self.handle_data("\t")
 
     def handle_endtag(self, tag):
+        for area in self._inside:
+            area[2] -= area[1] == tag
+        self._inside = [area for area in self._inside if area[2]]
         if tag in _HIDDEN:
             self._hidden = max(0, self._hidden - 1)
         elif tag == "title":
@@ -54,12 +75,22 @@ class _Page(HTMLParser):
         elif not self._hidden:
             for part in self._open:
                 part[1].append(data)
+            for area in self._inside:
+                self.areas[area[0]] += data
 
 
-def to_markdown(html: str | None) -> tuple[str, str]:
+def to_markdown(html: str | None, url: str | None = None) -> tuple[str, str]:
     page = _Page()
     page.feed(html or "")
     page.close()
+    try:
+        host = urlsplit(url or "").hostname or ""
+    except ValueError:  # not a URL
+        host = ""
+    title, areas = page.title.strip(), page.areas
+    for (site, form), area in ((VIDEO, areas.get("description", "")), (REPOSITORY, areas.get("files", areas.get("listing", "")))):
+        if site in host:
+            return title, form.format(title, area.strip())
     out = []
     for tag, texts in page.parts:
         text = "".join(texts).strip()
@@ -67,14 +98,15 @@ def to_markdown(html: str | None) -> tuple[str, str]:
             out.append(f"{'#' * int(tag[1])} {text}")
         elif text:
             out.append(text)
-    return page.title.strip(), "\n\n".join(out)
+    return title, "\n\n".join(out)
 
 
-def html_to_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds title and markdown."""
+def html_to_markdown(pages: DataFrame, html: str = "html", url: str | None = "url") -> DataFrame:
+    """Adds title and markdown.  `url`: the column of the page's address, if there is one."""
 
     @F.pandas_udf("title string, markdown string")
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([to_markdown(t) for t in texts], columns=["title", "markdown"])
+    def parse(texts: pd.Series, urls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([to_markdown(t, u) for t, u in zip(texts, urls, strict=True)], columns=["title", "markdown"])
 
-    return pages.withColumn("_m", parse(html)).select("*", "_m.title", "_m.markdown").drop("_m")
+    address = F.col(url) if url else F.lit(None)
+    return pages.withColumn("_m", parse(F.col(html), address.cast("string"))).select("*", "_m.title", "_m.markdown").drop("_m")
