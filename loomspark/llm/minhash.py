@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import column, components, sliced, written
+from .shared import bucketed, column, components, release, sliced, written
 from .words import Words, mixed, span_hashes, windows
 
 SHINGLE, TABLES, HALF = 5, 9, 3
@@ -84,20 +84,23 @@ def signatures(docs: DataFrame, tables: int = TABLES, half: int = HALF, shingle:
     return plain.mapInArrow(sign, "doc_id long, n_shingles long, node binary, a array<long>, b array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(s, node, shingles) of the classes asked for by s, from the texts that name them."""
+def _texts(docs: DataFrame, signed: DataFrame, shingle: int) -> DataFrame:
+    """(s, text) of every text with words, dealt by s: texts that have the same name and set
+    come once."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            sets = list(shingle_sets(column(batch, "text"), shingle))
-            full = [k for k, s in enumerate(sets) if len(s)]
-            ids = column(batch, "doc_id").take(pa.array(full, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([_digest(sets[k]) for k in full], pa.binary()), pa.array([sets[k].tobytes() for k in full], pa.binary())], ["doc_id", "node", "shingles"])
+            nodes = [_digest(s) if len(s) else None for s in shingle_sets(column(batch, "text"), shingle)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], ["doc_id", "text", "node"])
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    named = plain.join(wanted.select(F.col("s").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    made = named.unionByName(plain.where("doc_id is null")).mapInArrow(make, "doc_id long, node binary, shingles binary")
-    return made.select(_name(), "node", "shingles").groupBy("s", "node").agg(F.any_value("shingles").alias("shingles"))
+    own = plain.where("doc_id is not null").select(F.col("doc_id").alias("s"), "text")
+    if signed.where("doc_id is null").limit(1).count():
+        nameless = plain.where("doc_id is null").mapInArrow(named, "doc_id long, text string, node binary").where("node is not null")
+        own = own.unionByName(nameless.select(_name(), "text"))
+    if signed.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        own = own.groupBy("s", F.md5("text")).agg(F.any_value("text").alias("text")).drop("md5(text)")
+    return bucketed(own, ["s"], "minhash-texts")
 
 
 def _name() -> Column:
@@ -139,18 +142,20 @@ def _forest(nodes: list[bytes], sets: list[np.ndarray], roots: list[bytes], perc
                 front = near.tolist()
 
 
-def _compared(docs: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _compared(texts: DataFrame, groups: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b) links among the classes s of each group g; a group holds two blocks at most.
     Classes of one root are connected already."""
 
     def compare(table: pa.Table) -> pa.Table:
-        found = {n: (np.frombuffer(s, np.uint64), r or n) for n, s, r in zip(*(table.column(c).to_pylist() for c in ("node", "shingles", "root")), strict=True)}
-        sets, roots = zip(*found.values(), strict=True)
-        links = list(_forest(list(found), list(sets), list(roots), percent)) if len(set(roots)) > 1 else []
+        sets = shingle_sets(table.column("text").combine_chunks(), shingle)
+        found = {n: (s, r or n) for s, r in zip(sets, table.column("root").to_pylist(), strict=True) if len(s) for n in [_digest(s)]}
+        links = []
+        if len({r for _, r in found.values()}) > 1:
+            links = list(_forest(list(found), *zip(*found.values(), strict=True), percent))
         return pa.table({"a": pa.array([x for x, _ in links], pa.binary()), "b": pa.array([y for _, y in links], pa.binary())})
 
-    rows = groups.join(_sets(docs, groups, shingle), "s")
-    return written(rows.select("g", "node", "root", "shingles").groupBy("g").applyInArrow(compare, "a binary, b binary"), "minhash-links")
+    rows = groups.join(texts, "s")
+    return written(rows.select("g", "root", "text").groupBy("g").applyInArrow(compare, "a binary, b binary"), "minhash-links")
 
 
 def _hubs(members: DataFrame) -> DataFrame:
@@ -182,11 +187,14 @@ def _whole_buckets(members: DataFrame, hubs: DataFrame, classes: DataFrame, root
     groups = groups.where("r <> t and not (n = 2 and last.hub <=> lo)")
     # groups of the same classes are one
     groups = groups.groupBy("n", "print").agg(F.min(F.struct("key", "level")).alias("one")).select("one.*", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = sized.join(written(groups, "minhash-mixed"), ["key", "level"]).withColumn("own", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
+    several = written(groups, "minhash-mixed")
+    dealt = sized.join(several, ["key", "level"]).withColumn("own", F.pmod(F.xxhash64("s"), "blocks").cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # two classes by one name have roots of their own
     known = F.when(F.col("r") == F.col("t"), F.col("r")).alias("root")
-    return written(paired.select(F.xxhash64("key", "level", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "s", known), "minhash-groups")
+    out = written(paired.select(F.xxhash64("key", "level", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "s", known), "minhash-groups")
+    release(top, sized, several)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = TABLES, half: int = HALF, shingle: int = SHINGLE) -> DataFrame:
@@ -198,11 +206,18 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = TABLES, ha
     keyed = classes.select("s", F.explode(keys).alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("s").alias("lo"), F.count("*").alias("n")).where("n > 1").select("key", "lo"), "minhash-buckets")
     members = written(keyed.join(shared, "key"), "minhash-members")
+    release(shared)
     hubs = _hubs(members)
-    links = _compared(docs, _around_hubs(hubs), shingle, percent)
+    texts = _texts(docs, signed, shingle)
+    groups = _around_hubs(hubs)
+    links = _compared(texts, groups, shingle, percent)
     roots = components(links, "minhash")
-    more = _compared(docs, _whole_buckets(members, hubs, classes, roots, percent), shingle, percent)
+    mixed_groups = _whole_buckets(members, hubs, classes, roots, percent)
+    release(groups, members, hubs)
+    more = _compared(texts, mixed_groups, shingle, percent)
+    release(texts, mixed_groups)
     if more.limit(1).count():
+        release(roots)
         roots = components(links.union(more), "minhash")
     own = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +20,13 @@ GAP_PATTERN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a temporary
+    folder serves a local session; on a cluster that is an error, as executors wouldn't share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "/tmp/checkpoints/loomspark"
-        spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}/loomspark-{spark.sparkContext.applicationId}"
     return folder.rstrip("/")
 
 
@@ -34,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _remembered(spark.read.schema(df.schema).parquet(path), path)
 
 
 def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -47,13 +53,56 @@ def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     rows.bucketBy(n, *keys).saveAsTable(table)
     found = spark.table(table)
     spark.sql(f"drop table {table}")  # the name alone: files at a given path stay
-    return found
+    return _remembered(found, path)
+
+
+#: Paths of written tables that are still in use.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+def _remembered(df: DataFrame, path: str) -> DataFrame:
+    _paths[df] = path
+    if (made := _made.get()) is not None:
+        made.append(df)
+    return df
+
+
+@contextmanager
+def tables() -> Iterator[list[DataFrame]]:
+    """Gathers the tables that are written inside."""
+    token = _made.set([])
+    try:
+        yield _made.get()
+    finally:
+        _made.reset(token)
+
+
+def release(*written_tables: DataFrame) -> None:
+    """Removes written tables (again: does nothing) that nothing will read any more: all that
+    was made of them has been written itself."""
+    for df in written_tables:
+        if path := _paths.pop(df, None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name with underscores before it, so that no column's name begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = f"_{name}"
+    return name
+
+
+def without(docs: DataFrame, names: list[str]) -> list[str]:
+    """The columns of `docs` but those that an operator puts out itself."""
+    return [c for c in docs.columns if c.lower() not in names]
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -93,6 +142,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         up = spread.select(F.col("node").alias("root"), F.col("root").alias("top"))
         jumped = written(spread.join(up, "root").select("node", F.least("root", "top").alias("root")), f"{name}-jumped")
         moved = jumped.join(labels.select("node", F.col("root").alias("was")), "node").where("root <> was").limit(1).count()
+        release(spread, labels)
         if not moved:
+            release(both)
             return jumped
         labels = jumped
