@@ -9,7 +9,8 @@ twenty words.  Equal windows have equal anchors, so
 * a window can be repeated elsewhere only if other runs with its anchor exist, so single
   windows are hashed and counted only for the first run of each kind with such an anchor.
 
-The result is that of counting every window by itself.  Texts are dealt to buckets by document
+The result is that of counting every window by itself.  Windows, and runs, are taken for equal
+where two 64-bit hashes agree: that of all their words and that of their anchor, which lies in them.  Texts are dealt to buckets by document
 once, where both later joins with them find them.  Covered windows merge to maximal
 intervals by document, and their words go.
 
@@ -25,10 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import bucketed, column, sliced, written
+from .shared import bucketed, column, release, sliced, without, written
 from .words import Words, span_hashes, windows
 
 WINDOW, GRAM = 50, 8
@@ -67,9 +70,11 @@ def runs(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> pd.DataFram
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rank of a document and, as rows may share a doc_id, a hash of its text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "_text": F.xxhash64(text)})
+    """Rank of a document and, as rows may share a doc_id, a hash of its text, before all its
+    columns, which get names that clash with none."""
+    columns = [F.col(c).cast("string").alias("text") if c.lower() == "text" else F.col(c).alias(f"own{k}") for k, c in enumerate(docs.columns)]
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    return docs.select(rank.alias("_doc"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"), *columns)
 
 
 def covered(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -87,34 +92,38 @@ def covered(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     # equal runs have equal anchors, so only runs with an anchor of several documents matter
     anchors = found.groupBy("anchor").agg(F.min("whole").alias("x"), F.max("whole").alias("y"), F.min("_doc").alias("lo"), F.max("_doc").alias("hi"))
     anchors = written(anchors.where("lo < hi").select("anchor", F.expr("x <> y").alias("several")), "substring-anchors")
-    shared = written(found.join(anchors, "anchor").drop("anchor"), "substring-shared")
-    # the earliest document of each kind of run
-    twice = written(shared.groupBy("whole").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("lo < hi").select("whole", "lo"), "substring-repeated")
-    ranked = written(shared.join(twice, "whole", "left").drop("whole"), "substring-ranked")
+    shared = written(found.join(anchors, "anchor"), "substring-shared")
+    release(found, anchors)
+    # the earliest document of each kind of run; equal ones agree in both hashes
+    kind = ["anchor", "whole"]
+    twice = written(shared.groupBy(*kind).agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("lo < hi").select(*kind, "lo"), "substring-repeated")
+    ranked = written(shared.join(twice, kind, "left").drop("whole"), "substring-ranked")
+    release(shared, twice)
     gone = ranked.where("lo < _doc").select("_doc", "_text", "first", (F.col("first") + F.col("n") + window - 1).alias("end"))
     open_ = ranked.where("several and (lo is null or lo = _doc)")
-    by_doc = open_.groupBy("_doc", "_text").agg(F.collect_list(F.struct("first", "n")).alias("open"))
-    with_text = slim.join(written(by_doc, "substring-open"), ["_doc", "_text"])
+    by_doc = open_.groupBy("_doc", "_text").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("open"))
+    by_doc = written(by_doc, "substring-open")
+    with_text = slim.join(by_doc, ["_doc", "_text"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             w = Words(column(batch, "text"))
-            text, starts = [], []
-            for k, spans in enumerate(column(batch, "open").to_pylist()):
-                for s in spans:
-                    text.append(np.full(s["n"], k))
-                    starts.append(np.arange(s["first"], s["first"] + s["n"]) + w.first[k])
-            text, starts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (text, starts))
+            spans = column(batch, "open")
+            first, n, anchor = (pc.struct_field(spans.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2))
+            owner = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+            text, starts = np.repeat(owner, n), np.repeat(first + w.first[owner] - np.cumsum(n) + n, n) + np.arange(n.sum())
             h = span_hashes(w.hashes(), starts, starts + window)
             own = [column(batch, c).take(pa.array(text)) for c in ("_doc", "_text")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array((starts - w.first[text]).astype(np.int32)), pa.array(h.view(np.int64))], ["_doc", "_text", "first", "hash"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array((starts - w.first[text]).astype(np.int32)), pa.array(np.repeat(anchor, n)), pa.array(h.view(np.int64))], ["_doc", "_text", "first", "anchor", "hash"])
 
-    each = written(with_text.mapInArrow(single, "_doc long, _text long, first int, hash long"), "substring-windows")
-    seen = written(each.groupBy("hash").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("lo < hi").select("hash", "lo"), "substring-counts")
-    late = each.join(seen, "hash").where("lo < _doc").select("_doc", "_text", "first", (F.col("first") + window).alias("end"))
+    each = written(with_text.mapInArrow(single, "_doc long, _text long, first int, anchor long, hash long"), "substring-windows")
+    seen = written(each.groupBy("anchor", "hash").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("lo < hi").select("anchor", "hash", "lo"), "substring-counts")
+    late = each.join(seen, ["anchor", "hash"]).where("lo < _doc").select("_doc", "_text", "first", (F.col("first") + window).alias("end"))
     spans = F.array_sort(F.collect_set(F.struct("first", "end")))
     both = gone.union(late).groupBy("_doc", "_text").agg(spans.alias("all"))
-    return written(both.select("_doc", "_text", _merged("all").alias("spans")), "substring-spans")
+    merged = written(both.select("_doc", "_text", _merged("all").alias("spans")), "substring-spans")
+    release(ranked, by_doc, each, seen)
+    return merged
 
 
 def _merged(spans: str):
@@ -129,37 +138,39 @@ def _merged(spans: str):
     return F.expr(expr)
 
 
+def kept_words(texts: pa.Array, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words, words removed and the kept words joined by a blank, of each text; spans: disjoint
+    (first, end) word intervals to remove, or null."""
+    w, n = Words(texts), len(texts)
+    owner = np.repeat(np.arange(n), pc.list_value_length(spans).fill_null(0).to_numpy(zero_copy_only=False))
+    change = np.zeros(len(w.starts) + 1, np.int32)
+    for k, by in ((0, 1), (1, -1)):
+        np.add.at(change, pc.struct_field(spans.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) + w.first[owner], by)
+    kept = np.flatnonzero(np.cumsum(change[:-1]) == 0)
+    owner = np.repeat(np.arange(n), w.counts())[kept]
+    last = np.ones(len(kept), bool)
+    last[:-1] = owner[1:] != owner[:-1]
+    sizes = w.ends[kept] - w.starts[kept] + ~last  # with a blank after each but a text's last
+    upto = np.cumsum(sizes)
+    out = np.concatenate([w.raw, [0]]).astype(np.uint8)[np.repeat(w.starts[kept] - upto + sizes, sizes) + np.arange(upto[-1] if len(upto) else 0)]
+    out[upto[~last] - 1] = 0x20
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, sizes, n).astype(np.int64))]).astype(np.int32)
+    return w.counts(), w.counts() - np.bincount(owner, minlength=n), pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(out)])
+
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The rows of `docs` with n_words, n_removed and kept_text (kept words joined by a blank)."""
-    plain = docs.drop("n_words", "n_removed", "kept_text", "spans")
+    """The rows of `docs` with n_words, n_removed and kept_text (kept words joined by a blank);
+    own columns of these names give way to them."""
+    plain = docs.select(*without(docs, ["n_words", "n_removed", "kept_text"]))
     keyed = bucketed(_keyed(plain), ["_doc", "_text"], "substring-texts")
     spans = covered(keyed, window, gram)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            counts, removed, kept = [], [], []
-            for text, gone in zip(column(batch, "text").to_pylist(), column(batch, "spans").to_pylist(), strict=True):
-                words = _split(text or "")
-                left, at = [], 0
-                for s in gone or []:
-                    left += words[at : s["first"]]
-                    at = s["end"]
-                left += words[at:]
-                counts.append(len(words))
-                removed.append(len(words) - len(left))
-                kept.append(" ".join(left))
-            rest = batch.drop_columns(["spans", "_doc", "_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*rest.schema.names, "n_words", "n_removed", "kept_text"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*plain.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return keyed.join(spans, ["_doc", "_text"], "left").select(*plain.columns, "_doc", "_text", "spans").mapInArrow(cut, schema)
-
-
-#: ASCII white space alone separates words (str.split() would also cut at others).
-_TO_BLANK = str.maketrans({c: " " for c in "\t\n\v\f\r"})
-
+            n_words, n_removed, kept = kept_words(column(batch, "text"), batch.columns[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), kept], schema.names)
 
-def _split(text: str) -> list[str]:
-    return [w for w in text.translate(_TO_BLANK).split(" ") if w]
+    fields = [T.StructField(f.name, T.StringType() if f.name.lower() == "text" else f.dataType) for f in plain.schema.fields]
+    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    both = keyed.join(spans, ["_doc", "_text"], "left")
+    return both.select(*keyed.columns[2:], "spans").mapInArrow(cut, schema)
