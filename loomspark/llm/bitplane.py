@@ -184,7 +184,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, bits: bool =
         name = f"{folder}/shard-{context.partitionId():06d}.bp"
         system, path = _open(name)
         out = writer = None
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", 2 << 20):
             if writer is None:
                 system.create_dir(path.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(f"{path}.{context.taskAttemptId()}")

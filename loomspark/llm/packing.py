@@ -34,7 +34,7 @@ from .tokens import encoder
 
 K1, B = 1.2, 0.75
 #: Tails in one shard, about: at most twice as many, where counts are cut between cells.
-SHARD = 4096
+SHARD = 8192
 #: A cell: tails of one largest id, and of second largest ids that agree but for these bits.
 CELL_BITS = 12
 #: Seeds scored at once, and terms of a shard (the most frequent ones) whose weights are dense.
@@ -52,7 +52,7 @@ def tokenised(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, held = encoder(vocabulary), Frequencies()
-        for batch in sliced(batches, "text", 4 << 20):
+        for batch in sliced(batches, "text", 2 << 20):
             ids, first = enc.encode_ended(column(batch, "text"), end_id)
             sizes = np.diff(first)
             pieces = -(-sizes // window)
