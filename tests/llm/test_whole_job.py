@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from loomspark.llm import hmm, packing, queries
+from pyspark.sql import functions as F
 
 
 def test_packing_ranks_by_all_terms_of_a_seed():
@@ -46,3 +47,131 @@ def test_near_dedup_keeps_one_row_of_a_group(spark):
     assert kept.columns == ["doc_id", "text"]
     want = [(1, a), (3, b), (4, c), (5, "no copy of this one"), (6, ""), (7, None), (None, ""), (None, "alone and without id")]
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+
+
+CLASHES = ("target", "below", "copies", "source_size", "passes", "mix_size", "mix_source", "n_words", "n_removed", "kept_text", "spans", "_doc", "_text", "copy", "kept_id", "row_key", "_row_key", "n_shingles", "component_id", "kept", "score", "own0", "extra0", "sketch", "edited", "next_row", "shard", "rare", "col")
+
+
+def test_columns_may_have_any_name(spark, tmp_path):
+    """Documents with columns named as operators name theirs: the same results, and the columns stay."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join(words[(k * 7) % 50 : (k * 7) % 50 + 90]), "en", "ab"[k % 2], 9) for k in range(12)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    wide = plain.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    for name, df in (("plain", plain), ("wide", wide)):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(k, k % 2, 0) for k in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    ops = [n for n in queries.queries() if n not in ("op6_cover_tree", "op8_preference_pairs", "pipeline")]
+    for name in ops:
+        a, b = (sorted(map(repr, queries.queries()[name](spark, f"{tmp_path}/{side}").collect())) for side in ("plain", "wide"))
+        assert a == b, name
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, f"{tmp_path}/wide")
+        assert out.columns == wide.columns and {r.target for r in out.collect()} == {"own target"}
+
+
+def test_vectors_without_an_id_link(spark):
+    """Null and repeated vec_ids take part; a component is named by its least id that isn't null."""
+    from loomspark.llm import covertree
+
+    near = [[1.0, 0.01 * k, 0.0] for k in range(3)]
+    rows = [(None, near[0], 1), (5, near[1], 1), (None, near[2], 1), (None, [0.0, 0.0, 1.0], 1), (7, [0.0, 1.0, 0.0], 1), (7, [0.0, 1.0, 0.0], 1), (None, [0.0, 1.0], 2), (None, [0.0, 2.0], 2), (None, None, 1)]
+    out = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    want = [(None, 2, 5, False), (5, 2, 5, True), (None, 2, 5, False), (None, 0, None, True), (7, 1, 7, True), (7, 1, 7, True), (None, 1, None, True), (None, 1, None, True), (None, 0, None, True)]
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def test_forward_recursion_is_exact():
+    """Equal to the sum over all paths, on a tiny model."""
+    from itertools import product
+
+    rng = np.random.default_rng(0)
+    k, n = 3, 4
+    start, move = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k)
+    emit = rng.dirichlet(np.ones(hmm.CLASSES), k).T
+    sequences = [[5, 9, 1, 5], [2], [7, 7, 7], []]
+    first = np.cumsum([0, *map(len, sequences)])
+    model = hmm.Model(start, move, emit)
+    got = hmm.log_likelihood(model, np.array(sum(sequences, [])), first)
+    counts = hmm.expected_counts(model, np.array(sum(sequences, [])), first, np.ones(len(sequences), bool))
+    total, moves = 0.0, np.zeros((k, k))
+    for s, value in zip(sequences, got, strict=True):
+        paths = {p: np.prod([(start[p[0]] if t == 0 else move[p[t - 1], p[t]]) * emit[s[t], p[t]] for t in range(len(s))]) for p in product(range(k), repeat=len(s))}
+        whole = sum(paths.values())
+        assert abs(value - np.log10(whole)) < 1e-9
+        total += np.log10(whole)
+        for p, share in paths.items():
+            for t in range(1, len(s)):
+                moves[p[t - 1], p[t]] += share / whole
+    assert abs(counts[3] - total) < 1e-4 and np.allclose(counts[1], moves, atol=1e-4) and n == max(map(len, sequences))
+
+
+def test_bm25_scores_equal_brute_force():
+    """Every seed of a shard against every tail, by the formula."""
+    rng = np.random.default_rng(2)
+    tails = [[k, 0, rng.integers(0, 40, rng.integers(1, 60)).astype("<u4"), 1] for k in range(50)]
+    idf, mean = rng.random(40) + 0.1, 30.0
+    packing_scores = packing.Pool([list(t) for t in tails], idf, mean).scores(np.arange(50))
+    for i, a in enumerate(tails):
+        for j, b in enumerate(tails):
+            tf = {t: int((b[2] == t).sum()) for t in set(a[2].tolist()) & set(b[2].tolist())}
+            want = sum(idf[t] * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(b[2]) / mean)) for t, n in tf.items())
+            assert abs(packing_scores[i, j] - want) < 1e-3
+
+
+def test_packing_reruns_agree(spark):
+    docs = queries.documents(spark, "/root/testdata/sf0.001")
+    one, two = (sorted(map(tuple, packing.pack(d, queries.vocabulary(), shard=16).where("sequence_id % 2 = 1").drop("ids").collect())) for d in (docs, docs.repartition(7)))
+    assert one == two
+
+
+def test_sum_of_squares_is_the_sum_over_pairs():
+    """The machine's pairwise part against all pairs of features."""
+    from loomspark.llm import quality
+
+    rng = np.random.default_rng(4)
+    m = quality.Machine(0.3, rng.normal(0, 0.1, quality.SIZE), rng.normal(0, 0.1, (quality.SIZE, quality.FACTORS)))
+    f = quality.Features(np.array([3, 9, 3, 12]), np.array([0, 4]), (np.arange(quality.N_STATS) * quality.BINS + (1 << quality.WORD_BITS))[None])
+    x = [(i, 0.25) for i in f.index] + [(i, 1.0) for i in f.bins[0]]
+    pairs = sum(m.factors[a] @ m.factors[b] * p * q for k, (a, p) in enumerate(x) for b, q in x[:k])
+    z = m.bias + sum(m.weights[a] * p for a, p in x) + pairs
+    assert abs(m.score(f)[0] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_minhash_recall_at_the_threshold():
+    """Pairs at 0.75 share a table key with the chance that the README states."""
+    from loomspark.llm import minhash
+
+    found = 0
+    for seed in range(400):
+        r = np.random.default_rng(seed)
+        both, one, two = (r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 50, 50))
+        sides = []
+        for s in (np.concatenate([both, one]), np.concatenate([both, two])):
+            factors = minhash._constants(2 * minhash.TABLES * minhash.HALF)
+            least = np.array([((s ^ (s >> np.uint64(29))) * f).min() for f in factors]).reshape(2 * minhash.TABLES, minhash.HALF)
+            sides.append(least)
+        same = (sides[0] == sides[1]).all(axis=1)
+        found += bool(same[: minhash.TABLES].any() and same[minhash.TABLES :].any())
+    assert found / 400 > 0.96
+
+
+def test_sketch_containment_is_near_the_exact_share(spark):
+    """Mean error against all shingles, by length of the shorter text."""
+    from loomspark.llm import fingerprint
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in (30, 300, 3000):
+        for _ in range(12):
+            words = [f"w{k}" for k in rng.integers(0, 10**6, n)]
+            part = words[: n // 2] + [f"x{k}" for k in rng.integers(0, 10**6, n // 4)]
+            rows.append((n, " ".join(part), " ".join(words)))
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    a, b = (fingerprint.sketch(F.col(c)) for c in "ab")
+    exact = fingerprint.containment(fingerprint.sketch(F.col("a"), 1), fingerprint.sketch(F.col("b"), 1), 1)
+    share = fingerprint.compared(a, b, F.col("a"), F.col("b"), fingerprint.containment)
+    error = {r.n: r.e for r in df.select("n", F.abs(share - exact).alias("e")).groupBy("n").agg(F.avg("e").alias("e")).collect()}
+    assert error[30] < 0.3 and error[300] < 0.12 and error[3000] < 0.04
