@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,8 +75,6 @@ def savings(raw_tokens: Column, tokens: Column, model: Column | str = "gpt-4", e
 
 
 def _rounded(c: Column, digits: int) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("double")
     def as_python(values: pd.Series) -> pd.Series:
         return values.map(lambda x: round(x, digits), na_action="ignore")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,8 +140,6 @@ def normalize(df: DataFrame, name: str = "document_name", markdown: str = "markd
 def with_reader(files: DataFrame, read: Callable[[bytes, str], str]) -> DataFrame:
     """Adds markdown_raw by a callable of the caller's, such as an OCR service, for rows that
     `dispatch` gave to the "ai" reader; what it raises becomes the row's error, status 500."""
-    import pandas as pd
-
     @F.pandas_udf("markdown string, error string")
     def call(content: pd.Series, path: pd.Series) -> pd.DataFrame:
         out = []

@@ -44,9 +44,10 @@ class _Page(HTMLParser):
             self._hidden += 1
         elif tag == "title":
             self._in_title = True
+        elif tag in ("ul", "ol"):
+            self._open.append([tag, []])  # an item inside doesn't end one outside
         elif tag in PARTS:
-            if tag in ("p", "li") and self._open and self._open[-1][0] == tag == "p":
-                self._open.pop()
+            self._end_before(tag)
             part = [tag, []]
             self.parts.append(part)
             self._open.append(part)
@@ -55,6 +56,15 @@ class _Page(HTMLParser):
         elif tag in ("td", "th"):
             self.handle_data("\t")
 
+    def _end_before(self, tag: str) -> None:
+        """A paragraph ends with the next part, an item with the next one of its list."""
+        if self._open and self._open[-1][0] == "p":
+            self._open.pop()
+        if tag == "li":
+            names = [name for name, _ in self._open]
+            if "li" in names and not {"ul", "ol"} & set(names[len(names) - names[::-1].index("li") :]):
+                del self._open[len(names) - 1 - names[::-1].index("li") :]
+
     def handle_endtag(self, tag):
         for area in self._inside:
             area[2] -= area[1] == tag
@@ -63,7 +73,7 @@ class _Page(HTMLParser):
             self._hidden = max(0, self._hidden - 1)
         elif tag == "title":
             self._in_title = False
-        elif tag in PARTS:
+        elif tag in (*PARTS, "ul", "ol"):
             for k in range(len(self._open) - 1, -1, -1):
                 if self._open[k][0] == tag:
                     del self._open[k:]
