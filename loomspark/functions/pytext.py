@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,12 +18,16 @@ def text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+#: The same characters by themselves, for trims, which look at the ends of a text alone.
+_SPACES = "".join(chr(k) for k in range(0x3001) if re.match(WS, chr(k)))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+\\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"{WS}+\\z", "")
+    return F.rtrim(c, F.lit(_SPACES))
 
 
 def squeeze(c: Column, to: str = " ") -> Column:
@@ -45,8 +50,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def first_wins(items: Column, key: Callable[[Column], Column], counts: Callable[[Column], Column]) -> Column:
     """Items in order without those that count and whose key an earlier one had."""
-    keys = F.transform(items, lambda x: F.when(counts(x), key(x)))
-    return let(keys, lambda ks: F.filter(items, lambda x, i: F.get(ks, i).isNull() | (F.array_position(ks, F.get(ks, i)) == i + 1)))
+    keys = lambda xs: F.transform(xs, lambda x: F.when(counts(x), key(x)))
+    first = lambda ks, i: F.get(ks, i).isNull() | (F.array_position(ks, F.get(ks, i)) == i + 1)
+    return let(items, lambda xs: let(keys(xs), lambda ks: F.filter(xs, lambda x, i: first(ks, i))))
 
 
 def each(df: DataFrame, keys: list[str], items: Column, place: str, name: str) -> DataFrame:

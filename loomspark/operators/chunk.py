@@ -13,7 +13,7 @@ _HEADING = rf"(?Udm)^#+{WS}+.*$"
 
 def pieces(c: Column) -> Column:
     """Headings and the texts between them in order, stripped, without blank ones: s, words,
-    level (0: not a heading), title, and the sentences."""
+    level (0: not a heading) and title."""
 
     def all_(t: Column) -> Column:
         between, headings = F.split(t, _HEADING, -1), F.regexp_extract_all(t, F.lit(_HEADING), 0)
@@ -22,11 +22,9 @@ def pieces(c: Column) -> Column:
 
     def piece(s: Column) -> Column:
         level = F.when(s.rlike(f"^#+{WS}+"), F.length(F.regexp_extract(s, "^#+", 0))).otherwise(0)
-        sentence = lambda x: F.struct(x.alias("s"), F.regexp_count(x, F.lit(f"{NOT_WS}+")).alias("words"))
-        sentences = F.transform(F.split(s, rf"(?<=[.!?]){WS}+", -1), sentence)
         return F.struct(
             s.alias("s"), F.regexp_count(s, F.lit(f"{NOT_WS}+")).alias("words"), level.alias("level"),
-            strip(F.regexp_replace(s, "^#+", "")).alias("title"), sentences.alias("sentences"),
+            strip(F.regexp_replace(s, "^#+", "")).alias("title"),
         )
 
     return F.transform(let(text(c), all_), piece)
@@ -45,7 +43,9 @@ def _added(chunks: str, parts: str) -> str:
     return f"if(size({parts}) = 0, {chunks}, array_append({chunks}, if({bare}, {joined}, concat({_CRUMB}, {joined}))))"
 
 
-_PACKED = f"""aggregate(p.sentences,
+# Only a text that is too long is cut to sentences.
+_SENTENCES = f"transform(split(p.s, r'(?<=[.!?]){WS}+', -1), x -> named_struct('s', x, 'words', regexp_count(x, r'{NOT_WS}+')))"
+_PACKED = f"""aggregate({_SENTENCES},
     named_struct('done', cast(array() as array<array<string>>), 'cur', {_STRINGS}, 'words', 0),
     (b, q) -> if(b.words + q.words > {{limit}} and size(b.cur) > 0,
         named_struct('done', array_append(b.done, b.cur), 'cur', array(q.s), 'words', q.words),

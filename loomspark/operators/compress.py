@@ -59,7 +59,9 @@ def strip_bloat(c: Column) -> Column:
     """Without boilerplate, running headers and footers, and repeats of long lines."""
 
     def cleaned(t: Column, running: Column) -> Column:
-        left = F.filter(lines(t), lambda x: (strip(x) == "") | ~(is_boilerplate(x) | F.array_contains(running, _normal(x))))
+        # most documents have no running lines to compare with
+        runs = lambda x: F.when(F.size(running) > 0, F.array_contains(running, _normal(x))).otherwise(False)
+        left = F.filter(lines(t), lambda x: (strip(x) == "") | ~(is_boilerplate(x) | runs(x)))
         once = first_wins(left, lambda x: F.lower(squeeze(strip(x), "")), lambda x: F.length(strip(x)) > LONG_LINE)
         even = F.transform(once, lambda x: F.when(strip(x) == "", F.lit("")).otherwise(x))
         return strip(F.regexp_replace(F.array_join(even, "\n"), "\n{3,}", "\n\n"))
