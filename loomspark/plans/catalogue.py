@@ -190,6 +190,19 @@ def _entity_query(category: str) -> tuple[Query, str]:
     return some, sql
 
 
+def _context_query(category: str) -> tuple[Query, str]:
+    p, _, flags = _ENTITY_SQL[category]
+    p = f"(?{flags}){p}" if flags else p
+    return (
+        lambda spark, d: each(docs(spark, d), ["doc_id"], entities.found(F.col("markdown"), category), "ord", "e").select("doc_id", "ord", "e.name", "e.context"),
+        f"""with s as ({seeds.DOCS}), m as (select doc_id, markdown, regexp_extract_all(markdown, {_quoted(p)}) as ms, regexp_split_to_array(markdown, {_quoted(p)}) as gs from s),
+          u as (select doc_id, markdown, ms, gs, unnest(ms) as name, generate_subscripts(ms, 1) as i from m),
+          o as (select *, (coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::bigint as pos from u),
+          t as (select *, substr(markdown, 1, pos) as l, substr(markdown, pos + length(name) + 1) as r from o)
+          select doc_id, (i - 1)::int as ord, name, replace({_strip("regexp_extract(l, '[^.]*$') || name || case when contains(r, '.') then substr(r, 1, instr(r, '.')) else substr(r, 1, 50) end")}, chr(10), ' ') as context from t""",
+    )
+
+
 def _iso_sql(x: str) -> str:
     p = r"^(\d{1,2})\s+([a-z]+)\s+(\d{4})$"
     clean = f"lower({_strip(x)})"
@@ -348,15 +361,8 @@ def _build() -> dict[str, tuple[Query, str | None]]:
     for k in entities.PATTERNS:
         q[f"entities_{k.lower()}"] = _entity_query(k)
     q["entities_dedup"] = lambda spark, d: entities.exploded(docs(spark, d), "doc_id", "markdown"), None
-    p = _ENTITY_SQL["Email"][0]
-    q["entity_context"] = (
-        lambda spark, d: each(docs(spark, d), ["doc_id"], entities.found(F.col("markdown"), "Email"), "ord", "e").select("doc_id", "ord", "e.name", "e.context"),
-        f"""with s as ({seeds.DOCS}), m as (select doc_id, markdown, regexp_extract_all(markdown, {_quoted(p)}) as ms, regexp_split_to_array(markdown, {_quoted(p)}) as gs from s),
-          u as (select doc_id, markdown, ms, gs, unnest(ms) as name, generate_subscripts(ms, 1) as i from m),
-          o as (select *, (coalesce(list_sum(list_transform(gs[1:i], lambda g: length(g))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::bigint as pos from u),
-          t as (select *, substr(markdown, 1, pos) as l, substr(markdown, pos + length(name) + 1) as r from o)
-          select doc_id, (i - 1)::int as ord, name, replace({_strip("regexp_extract(l, '[^.]*$') || name || case when contains(r, '.') then substr(r, 1, instr(r, '.')) else substr(r, 1, 50) end")}, chr(10), ' ') as context from t""",
-    )
+    for k in ("Email", "Organization", "Technology", "Location", "Monetary"):
+        q["entity_context" if k == "Email" else f"entity_context_{k.lower()}"] = _context_query(k)
     q["entity_counts"] = (
         lambda spark, d: entities.exploded(docs(spark, d), "doc_id", "markdown").groupBy("category").agg(F.count("*").alias("n"), F.countDistinct(F.lower("name")).alias("names")),
         f"with s as ({seeds.DOCS}), e as ("

@@ -41,6 +41,17 @@ def test_tokens_by_family(one):
     assert one(tokens.count_tokens, "       ") == 1
 
 
+def test_true_tokens(one):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    text = "Some words, and <|endoftext|> too."
+    plain = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    values = [one(lambda c: tokens.true_tokens(c, path("byte_bpe_50k.json")), t) for t in (text, "", None)]
+    assert values == [len(plain.encode(text, add_special_tokens=False).ids), 0, 0]
+
+
 def test_savings(spark):
     def of(raw, new, model, exact=False):
         s = tokens.savings(F.col("raw"), F.col("new"), model, exact)
