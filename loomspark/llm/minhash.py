@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bucketed, column, components, release, sliced, written
-from .words import Words, mixed, span_hashes, windows
+from .words import Words, distinct, mixed, span_hashes, windows
 
 SHINGLE, TABLES, HALF = 5, 9, 3
 #: Classes of one block; a task holds the sets of two blocks at once.
@@ -46,7 +46,7 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray
     all_ = span_hashes(h, starts, starts + shingle)
     for k, n in enumerate(np.diff(w.first)):
         if n >= shingle:
-            yield np.unique(all_[where[k] : where[k + 1]])
+            yield distinct(all_[where[k] : where[k + 1]])
         elif n:
             yield span_hashes(h, w.first[k : k + 1], w.first[k + 1 : k + 2])
         else:

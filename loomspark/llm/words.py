@@ -42,6 +42,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; by a sort, which is an order faster here than np.unique."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The hash of values[start:end] for every span."""
     if not len(starts):
