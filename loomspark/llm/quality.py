@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import column, sliced
-from .words import Words
+from .words import Words, distinct
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 8_000
@@ -64,18 +64,18 @@ def features(texts: pa.Array, n_chars: np.ndarray) -> Features:
     if len(h) > 1:
         again[2:] = np.cumsum(h[1:] == h[:-1])
     repeats = (again[w.first[1:]] - again[np.minimum(w.first[:-1] + 1, w.first[1:])]) / n_words
-    distinct, rare_line = np.zeros(len(counts)), np.zeros(len(counts))
+    kinds_of_words, rare_line = np.zeros(len(counts)), np.zeros(len(counts))
     for k, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-        distinct[k] = len(np.unique(h[a:b])) / max(1, b - a)
+        kinds_of_words[k] = len(distinct(h[a:b])) / max(1, b - a)
         # a line of four words or more that comes again, by the words that open it
         if b - a > 8:
             opens = h[a:b][:-3] + 3 * h[a:b][1:-2] + 5 * h[a:b][2:-1] + 7 * h[a:b][3:]
-            rare_line[k] = 1 - len(np.unique(opens)) / len(opens)
+            rare_line[k] = 1 - len(distinct(opens)) / len(opens)
     letters = np.zeros(len(counts))
     sizes = np.concatenate([[0], np.cumsum(w.ends - w.starts)])
     letters = (sizes[w.first[1:]] - sizes[w.first[:-1]]) / n_words
     logs = np.log2(1 + np.where(np.isnan(n_chars), 0, n_chars))
-    fixed = [repeats, distinct, rare_line, np.minimum(letters / 24, 1), np.minimum(np.log2(1 + counts) / 20, 1) ** 2, np.minimum(logs / 24, 1) ** 2]
+    fixed = [repeats, kinds_of_words, rare_line, np.minimum(letters / 24, 1), np.minimum(np.log2(1 + counts) / 20, 1) ** 2, np.minimum(logs / 24, 1) ** 2]
     bins = np.column_stack([_binned(s) for s in [*shares, *fixed]])
     bins = bins + (1 << WORD_BITS) + np.arange(N_STATS) * BINS
     return Features((h >> np.uint64(64 - WORD_BITS)).astype(np.int64), w.first, bins)
