@@ -2,12 +2,14 @@
 
 Every document is tokenised whole and ends with an end id.  Its full windows stand alone;
 what is left of it (its tail, below one window) is packed with other tails.  Tails are dealt
-to shards of about SHARD by their two largest ids, so that texts with rare words in common
-meet; exact counts by those ids give the shards, and a cell of more than SHARD tails is spread
-by a hash.  A shard has an inverted index of its tails; the first unused one is the seed, BM25
-ranks the unused ones for all its terms, and they fill the window greedily, the last one cut
-to fit.  What is left of a cut tail stays in the pool.  So every window of a shard is full but
-the last, whose ids go to sequences of power-of-two lengths, which need no padding either.
+to shards of about SHARD, so that those with much in common meet: a tree of cuts along the
+principal directions of their terms has a leaf for each shard.  The tree alone is fitted on a
+bounded sample, about SAMPLE documents taken by a hash; every tail goes down it, and a leaf
+that has more than SHARD tails by exact counts is spread over several shards by a hash.  A
+shard has an inverted index of its tails; the first unused one is the seed, BM25 ranks the
+unused ones for all its terms, and they fill the window greedily, the last one cut to fit.
+What is left of a cut tail stays in the pool.  So every window of a shard is full but the
+last, whose ids go to sequences of power-of-two lengths, which need no padding either.
 
 A shard's rows, their order and its sequences depend on the documents alone, so reruns agree.
 
@@ -22,33 +24,131 @@ null; repeated rows are packed as often as they come; an empty table gives no pi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import column, parallelism, sliced, written
 from .tokens import encoder
+from .words import distinct
 
 K1, B = 1.2, 0.75
-#: Tails in one shard, about: at most twice as many, where counts are cut between cells.
+#: Tails in one shard, about.
 SHARD = 8192
-#: A cell: tails of one largest id, and of second largest ids that agree but for these bits.
-CELL_BITS = 12
+#: Documents that the tree is fitted on, about, and the fewest of their tails in a leaf.
+SAMPLE, LEAST = 10_000, 64
+#: Principal directions that the tree cuts along.
+DIRECTIONS = 8
 #: Seeds scored at once, and terms of a shard (the most frequent ones) whose weights are dense.
 SEEDS, DENSE = 64, 512
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenised(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> DataFrame:
-    """Pieces of whole documents: full windows, and tails with their two largest ids (a BPE
-    numbers its merges by falling frequency).  Full windows have null there.  A task adds one
-    row with a start of -1: how many of its pieces hold each id."""
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "rare", "rare2"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+def _presence(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, id) of every distinct id of each of the texts that follow one another."""
+    base = int(ids.max(initial=0)) + 1
+    kind = np.uint32 if base * len(sizes) < 1 << 32 else np.uint64
+    pairs = np.repeat(np.arange(len(sizes), dtype=kind) * kind(base), sizes) + ids.astype(kind)
+    pairs = distinct(pairs)
+    return (pairs // kind(base)).astype(np.int64), (pairs % kind(base)).astype(np.int64)
+
+
+@dataclass
+class Tree:
+    """Cuts at medians along the widest of the principal directions of texts, by their ids'
+    inverse frequencies: by node the direction, the median, and the nodes on either side; a
+    node without them has a leaf."""
+
+    idf: np.ndarray
+    directions: np.ndarray  # id x direction; the last row is for ids that aren't known
+    cut: list[tuple[int, float, int, int]]
+    leaf: list[int]
+
+    def places(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """text x direction."""
+        text, term = _presence(ids, sizes)
+        term = np.minimum(term, len(self.idf) - 1)
+        weight = self.idf[term]
+        norm = np.sqrt(np.bincount(text, weight**2, len(sizes)))
+        flat = [np.bincount(text, weight * column[term], len(sizes)) for column in self.directions.T]
+        return np.column_stack(flat) / np.maximum(norm, 1e-9)[:, None]
+
+    def leaves(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(sizes), np.int64)
+        if len(self.cut) > 1:
+            places, cut = self.places(ids, sizes), np.array(self.cut)
+            direction, children = cut[:, 0].astype(np.int64), cut[:, 2:].astype(np.int64)
+            while (inner := np.flatnonzero(direction[node] >= 0)).size:
+                at = node[inner]
+                node[inner] = children[at, (places[inner, direction[at]] > cut[at, 1]).astype(np.int64)]
+        return np.array(self.leaf)[node]
+
+    @classmethod
+    def fitted(cls, texts: list[np.ndarray], total: int, shard: int, least: int = LEAST) -> Tree:
+        """On a sample of `total` texts, until a leaf has about `shard` of them."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        ids = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
+        size = int(ids.max(initial=0)) + 2
+        made = cls(np.zeros(size), np.zeros((size, DIRECTIONS)), [(-1, 0.0, 0, 0)], [0])
+        if total <= shard or len(texts) < 2 * least:
+            return made
+        text, term = _presence(ids, sizes)
+        df = np.bincount(term, minlength=size)
+        made.idf = np.where(df > 0, np.log(1 + (len(texts) - df + 0.5) / (df + 0.5)), 0)
+        weight = made.idf[term]
+        weight = weight / np.sqrt(np.bincount(text, weight**2))[text]
+        onto = lambda m: np.column_stack([np.bincount(text, weight * c[term], len(texts)) for c in m.T])
+        back = lambda y: np.column_stack([np.bincount(term, weight * c[text], size) for c in y.T])
+        basis = np.random.default_rng(1).normal(size=(size, 3 * DIRECTIONS))
+        for _ in range(3):  # subspace iteration
+            y = onto(basis)
+            basis = np.linalg.qr(back(y - y.mean(axis=0)))[0]
+        y = onto(basis)
+        _, turn = np.linalg.eigh(np.cov(y.T))
+        made.directions = basis @ turn[:, : -DIRECTIONS - 1 : -1]
+        places, made.cut, made.leaf, waiting, leaves = made.places(ids, sizes), [], [], [(np.arange(len(texts)), -1, 0)], 0
+        while waiting:
+            here, parent, side = waiting.pop()
+            node = len(made.cut)
+            if parent >= 0:
+                d, m, *children = made.cut[parent]
+                children[side] = node
+                made.cut[parent] = (d, m, *children)
+            d = int(places[here].std(axis=0).argmax())
+            m = float(np.median(places[here, d]))
+            high = places[here, d] > m
+            few = len(here) * total <= shard * len(texts) or min(high.sum(), (~high).sum()) < least
+            made.cut.append((-1, 0.0, 0, 0) if few else (d, m, 0, 0))
+            made.leaf.append(leaves if few else -1)
+            leaves += few
+            if not few:
+                waiting += [(here[high], node, 1), (here[~high], node, 0)]
+        return made
+
+
+def fitted_tree(docs: DataFrame, vocabulary: str, window: int, end_id: int, shard: int, sample: int = SAMPLE) -> Tree:
+    total = docs.count()
+    if total <= shard:
+        return Tree.fitted([], total, shard)
+    bits = 1 << 30
+    mine = F.pmod(F.xxhash64("doc_id", "text"), F.lit(bits)) < int(bits * min(1.0, sample / total))
+    tails = tokenised(docs.where(mine), vocabulary, window, end_id).where("leaf is not null").select("ids").toPandas()
+    return Tree.fitted([np.frombuffer(t, "<u4") for t in sorted(map(bytes, tails.ids))], total, shard)
+
+
+def tokenised(docs: DataFrame, vocabulary: str, window: int, end_id: int, tree: Tree | None = None) -> DataFrame:
+    """Pieces of whole documents: full windows, and tails with their leaf of the tree (0 without
+    one).  Full windows have null there.  A task adds one row with a start of -1: how many of its
+    pieces hold each id."""
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "leaf"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()]
+    shared = docs.sparkSession.sparkContext.broadcast(tree)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, held = encoder(vocabulary), Frequencies()
@@ -61,16 +161,17 @@ def tokenised(docs: DataFrame, vocabulary: str, window: int, end_id: int) -> Dat
             begin, length = first[doc] + start, np.minimum(sizes[doc] - start, window)
             for a, n in zip(begin.tolist(), length.tolist(), strict=True):
                 held.add(ids[a : a + n])
-            rare = np.maximum.reduceat(ids, begin)
-            rare2 = np.maximum.reduceat(np.where(ids == np.repeat(rare, length), 0, ids), begin)
-            packed = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * np.concatenate([begin, [len(ids)]])), pa.py_buffer(ids)])
             full = length == window
-            columns = [column(batch, "doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), packed.cast(pa.binary()), pa.array(sizes[doc]), pa.array(rare.astype(np.int32), mask=full), pa.array(rare2.astype(np.int32), mask=full)]
+            leaf = np.zeros(len(doc), np.int32)
+            if shared.value is not None and not full.all():
+                leaf[~full] = shared.value.leaves(ids[np.repeat(~full, length)], length[~full])
+            packed = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * np.concatenate([begin, [len(ids)]])), pa.py_buffer(ids)])
+            columns = [column(batch, "doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), packed.cast(pa.binary()), pa.array(sizes[doc]), pa.array(leaf, mask=full)]
             yield pa.RecordBatch.from_arrays(columns, names)
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, -1, 0, held.packed(), 0, None, None), types, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((None, -1, 0, held.packed(), 0, None), types, strict=True)], names)
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return plain.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, rare int, rare2 int")
+    return plain.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, leaf int")
 
 
 class Frequencies:
@@ -216,7 +317,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0,
     """Pieces of all documents in sequences of at most `window` ids: doc_id, start (its
     document's ids before it), length, ids, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
-    counted = written(tokenised(docs, vocabulary, window, end_id), "packing-pieces")
+    tree = fitted_tree(docs, vocabulary, window, end_id, shard)
+    counted = written(tokenised(docs, vocabulary, window, end_id, tree), "packing-pieces")
     df, pieces = document_frequencies(counted), counted.where("start >= 0")
     stats = pieces.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     idf = spark.sparkContext.broadcast(np.log(1 + (stats.n - df + 0.5) / (df + 0.5)))
@@ -248,22 +350,21 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0,
         if tails:
             yield from sequences(here)
 
-    full = pieces.where("rare is null").withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    tails = dealt(pieces.where("rare is not null"), shard)
+    full = pieces.where("leaf is null").withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    tails = dealt(pieces.where("leaf is not null"), shard)
     # a task has whole shards, wherever the range's sampled bounds fall
-    tails = tails.repartitionByRange(parallelism(spark), "shard").sortWithinPartitions("shard", "rare", "rare2", "doc_id", "start", "ids")
+    tails = tails.repartitionByRange(parallelism(spark), "shard").sortWithinPartitions("shard", "doc_id", "start", "ids")
     names = [c.split()[0] for c in PIECES.split(", ")]
     return full.select(names).union(tails.select("shard", "doc_id", "start", "ids", "doc_tokens").mapInArrow(packed, PIECES))
 
 
 def dealt(tails: DataFrame, shard: int = SHARD) -> DataFrame:
-    """Tails with their shard: cells in order of their ids, cut by the tails before them.  There
-    are as many cells as pairs of an id and a range of ids, at most."""
-    cell = ["rare", F.shiftright("rare2", CELL_BITS).alias("near")]
-    cells = tails.groupBy(*cell).count().toPandas().sort_values(["rare", "near"])
-    before = cells["count"].cumsum() - cells["count"]
-    cells = cells.assign(shard=before // shard, parts=-(-cells["count"] // shard))[["rare", "near", "shard", "parts"]]
-    kinds = pa.schema([("rare", pa.int32()), ("near", pa.int32()), ("shard", pa.int64()), ("parts", pa.int64())])
-    table = F.broadcast(tails.sparkSession.createDataFrame(pa.Table.from_pandas(cells, kinds, preserve_index=False)))
+    """Tails with their shard: a leaf has as many as its tails need.  The tree has at most
+    SAMPLE / LEAST leaves."""
+    leaves = tails.groupBy("leaf").count().toPandas().sort_values("leaf")
+    parts = -(-leaves["count"] // shard)
+    leaves = pd.DataFrame({"leaf": leaves.leaf, "before": parts.cumsum() - parts, "parts": parts})
+    kinds = pa.schema([("leaf", pa.int32()), ("before", pa.int64()), ("parts", pa.int64())])
+    table = F.broadcast(tails.sparkSession.createDataFrame(pa.Table.from_pandas(leaves, kinds, preserve_index=False)))
     some = F.pmod(F.xxhash64("doc_id", "start", "ids"), "parts")
-    return tails.withColumn("near", F.shiftright("rare2", CELL_BITS)).join(table, ["rare", "near"]).withColumn("shard", F.col("shard") + some)
+    return tails.join(table, "leaf").withColumn("shard", F.col("before") + some)
