@@ -6,8 +6,10 @@ grams in it, and consecutive windows with the same anchor make a run, about one
 twenty words.  Equal windows have equal anchors, so
 
 * a run whose whole span of words also is a run of an earlier document is covered at once;
-* a window can be repeated elsewhere only if other runs with its anchor exist, so single
-  windows are hashed and counted only for the first run of each kind with such an anchor.
+* a window can be repeated elsewhere only if other runs with its anchor exist, so only for the
+  first run of each kind with such an anchor, windows are looked at, in blocks of up to BLOCK
+  whose bounds are counted from the anchor: a block that an earlier document has is covered at
+  once, and single windows are hashed and counted for the first block of each kind.
 
 The result is that of counting every window by itself.  Windows, and runs, are taken for equal
 where two 64-bit hashes agree: that of all their words and that of their anchor, which lies in them.  Texts are dealt to buckets by document
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from .shared import bucketed, column, release, sliced, without, written
 from .words import Words, span_hashes, windows
 
-WINDOW, GRAM = 50, 8
+WINDOW, GRAM, BLOCK = 50, 8, 8
 _LAST = (1 << 63) - 1
 
 
@@ -69,6 +71,32 @@ def runs(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> pd.DataFram
     return pd.DataFrame({"text": text[at], "first": starts[at] - w.first[text[at]], "n": n, "anchor": anchor[at].view(np.int64), "whole": whole.view(np.int64)})
 
 
+def blocks(texts: pa.Array, spans: pa.Array, window: int = WINDOW, gram: int = GRAM, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """text (its number), first, anchor, hash and the hashes of the single windows of every block
+    of the open runs (first, n, anchor) of each text."""
+    w = Words(texts)
+    h = w.hashes()
+    first, n, anchor = (pc.struct_field(spans.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2))
+    text = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
+    start = first + w.first[text]
+    last = start + n - 1
+    # the anchor's place, the same in equal windows: within all windows of its run
+    k = np.arange(max(len(h) - gram + 1, 0))
+    grams = span_hashes(h, k, k + gram)
+    place = last + (grams[last[:, None] + np.arange(window - gram + 1)] == anchor.view(np.uint64)[:, None]).argmax(axis=1)
+    high = (place - start) // block
+    many = high - (place - last) // block + 1
+    run = np.repeat(np.arange(len(text)), many)
+    number = high[run] - (np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many))
+    low = np.maximum(start[run], place[run] - number * block - block + 1)
+    n = np.minimum(last[run], place[run] - number * block) - low + 1
+    upto = np.cumsum(n)
+    single = np.repeat(low - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)
+    hashes = pa.array(span_hashes(h, single, single + window).view(np.int64))
+    listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]), pa.int32()), hashes)
+    return text[run], low - w.first[text[run]], anchor[run], span_hashes(h, low, low + n + window - 1).view(np.int64), listed
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """Rank of a document and, as rows may share a doc_id, a hash of its text, before all its
     columns, which get names that clash with none."""
@@ -105,24 +133,30 @@ def covered(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     by_doc = written(by_doc, "substring-open")
     with_text = slim.join(by_doc, ["_doc", "_text"])
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            w = Words(column(batch, "text"))
-            spans = column(batch, "open")
-            first, n, anchor = (pc.struct_field(spans.flatten(), k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1, 2))
-            owner = np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy(zero_copy_only=False))
-            text, starts = np.repeat(owner, n), np.repeat(first + w.first[owner] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            h = span_hashes(w.hashes(), starts, starts + window)
+            text, first, anchor, hashes, singles = blocks(column(batch, "text"), column(batch, "open"), window, gram)
             own = [column(batch, c).take(pa.array(text)) for c in ("_doc", "_text")]
-            yield pa.RecordBatch.from_arrays([*own, pa.array((starts - w.first[text]).astype(np.int32)), pa.array(np.repeat(anchor, n)), pa.array(h.view(np.int64))], ["_doc", "_text", "first", "anchor", "hash"])
-
-    each = written(with_text.mapInArrow(single, "_doc long, _text long, first int, anchor long, hash long"), "substring-windows")
-    seen = written(each.groupBy("anchor", "hash").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi")).where("lo < hi").select("anchor", "hash", "lo"), "substring-counts")
-    late = each.join(seen, ["anchor", "hash"]).where("lo < _doc").select("_doc", "_text", "first", (F.col("first") + window).alias("end"))
+            yield pa.RecordBatch.from_arrays([*own, pa.array(first, pa.int32()), pa.array(anchor), pa.array(hashes), singles], ["_doc", "_text", "first", "anchor", "hash", "singles"])
+
+    def earlier(rows: DataFrame, name: str) -> DataFrame:
+        """The first document of each kind that several have."""
+        found = rows.groupBy("anchor", "hash").agg(F.min("_doc").alias("lo"), F.max("_doc").alias("hi"))
+        return written(found.where("lo < hi").select("anchor", "hash", "lo"), name)
+
+    each = written(with_text.mapInArrow(cut, "_doc long, _text long, first int, anchor long, hash long, singles array<long>"), "substring-blocks")
+    seen = earlier(each, "substring-block-counts")
+    tagged = written(each.join(seen, ["anchor", "hash"], "left").drop("hash"), "substring-tagged")
+    release(each, seen)
+    late = tagged.where("lo < _doc").select("_doc", "_text", "first", (F.col("first") + F.size("singles") + window - 1).alias("end"))
+    alone = tagged.where("lo is null or lo = _doc").select("_doc", "_text", "anchor", F.col("first").alias("begin"), F.posexplode("singles").alias("at", "hash"))
+    alone = alone.select("_doc", "_text", "anchor", "hash", (F.col("begin") + F.col("at")).alias("first"))
+    counted = earlier(alone, "substring-counts")
+    single = alone.join(counted, ["anchor", "hash"]).where("lo < _doc").select("_doc", "_text", "first", (F.col("first") + window).alias("end"))
     spans = F.array_sort(F.collect_set(F.struct("first", "end")))
-    both = gone.union(late).groupBy("_doc", "_text").agg(spans.alias("all"))
+    both = gone.union(late).union(single).groupBy("_doc", "_text").agg(spans.alias("all"))
     merged = written(both.select("_doc", "_text", _merged("all").alias("spans")), "substring-spans")
-    release(ranked, by_doc, each, seen)
+    release(ranked, by_doc, tagged, counted)
     return merged
 
 

@@ -175,3 +175,24 @@ def test_sketch_containment_is_near_the_exact_share(spark):
     share = fingerprint.compared(a, b, F.col("a"), F.col("b"), fingerprint.containment)
     error = {r.n: r.e for r in df.select("n", F.abs(share - exact).alias("e")).groupBy("n").agg(F.avg("e").alias("e")).collect()}
     assert error[30] < 0.3 and error[300] < 0.12 and error[3000] < 0.04
+
+
+def test_blocks_of_windows_hold_every_window_once():
+    """The blocks of a text's runs cover its windows, and equal passages have equal blocks."""
+    import pyarrow as pa
+    from loomspark.llm import substring
+
+    rng = np.random.default_rng(8)
+    shared = [f"s{k}" for k in range(120)]
+    texts = pa.array([" ".join([f"{x}{k}" for k in rng.integers(0, 999, 70)] + shared + [f"{x}{k}" for k in rng.integers(0, 999, 40 + n)]) for n, x in enumerate("ab")])
+    r = substring.runs(texts)
+    spans = pa.array([r[r.text == k][["first", "n", "anchor"]].to_dict("records") for k in range(2)], pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64())])))
+    text, first, anchor, hashes, singles = substring.blocks(texts, spans)
+    sizes = np.diff(singles.offsets.to_numpy())
+    assert sizes.max() <= substring.BLOCK
+    for k, words in enumerate(map(str.split, texts.to_pylist())):
+        covered = np.concatenate([np.arange(a, a + n) for a, n in zip(first[text == k], sizes[text == k], strict=True)])
+        assert sorted(covered.tolist()) == list(range(len(words) - substring.WINDOW + 1))
+    one, two = (set(zip(anchor[text == k].tolist(), hashes[text == k].tolist(), strict=True)) for k in (0, 1))
+    lone, both = (set(np.concatenate([singles[int(b)].values.to_numpy() for b in np.flatnonzero(text == k)]).tolist()) for k in (0, 1))
+    assert len(lone & both) == 120 - substring.WINDOW + 1 and one & two
