@@ -31,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, docs = docs.columns, _plainly_named(docs)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     if not ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
-        kept = written(minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")), "pipeline-kept")
-        return docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").toDF(*names)
+        gone = written(minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id")), "pipeline-gone")
+        return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti").toDF(*names)
     key = "row_key"
     rows = written(docs.withColumn(key, F.monotonically_increasing_id()), "pipeline-rows")
     found = minhash.near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"))
