@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept by one Python worker; about 150 bytes each.
-MEMO_PIECES = 600_000
+MEMO_PIECES = 400_000
 
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: What starts a pre-token after a letter or digit, and is a piece of its own there.
