@@ -222,5 +222,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, tables: int = TABLES, ha
     own = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = written(own.join(least, "root").select("node", "component_id"), "minhash-labels")
+    release(classes, links, more, roots)
     out = signed.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     folder serves a local session; on a cluster that is an error, as executors wouldn't share it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.gettempdir()}/loomspark-{spark.sparkContext.applicationId}"
     return folder.rstrip("/")
