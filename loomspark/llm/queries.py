@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, covertree, fingerprint, hmm, minhash, mixing, packing, preferences, quality, substring
+from . import bitplane, covertree, fingerprint, hmm, licenses, manifest, minhash, mixing, packing, preferences, quality, substring, trie
+from .license_rules import RULES
 from .shared import documents
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,6 +82,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.summarised(licenses.scanned(documents(spark, sf_dir)))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.col("n_chars") + F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
+    rows = manifest.verified(manifest.manifest(documents(spark, sf_dir), changed=tampered))
+    return rows.select("doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.sequences(documents(spark, sf_dir, "conversations"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_retrieval_packing, op2_hmm_scores, op3_scaled_sketches, op4_factorisation_machine, op5_source_mix, op6_cover_tree, op7_tensored_minhash, op8_preference_pairs, op9_bitplane_tokens, op10_substring_dedup)
+    ops = (op1_retrieval_packing, op2_hmm_scores, op3_scaled_sketches, op4_factorisation_machine, op5_source_mix, op6_cover_tree, op7_tensored_minhash, op8_preference_pairs, op9_bitplane_tokens, op10_substring_dedup, op11_license_rules, op12_merkle_manifest, op13_prefix_trie)
     return {f.__name__: f for f in (*ops, pipeline)}
 
 
@@ -184,5 +200,107 @@ from w left join k using (doc_id)
 """
 
 
+#: CRC-32 of the ASCII text of a number, a bit at a time.
+_CRC = """xor(4294967295, list_reduce([4294967295::bigint] || flatten(list_transform(string_split({}::varchar, ''), lambda c: [ascii(c) + 256, 0, 0, 0, 0, 0, 0, 0, 0])),
+  lambda a, x: case when x > 0 then xor(a, x - 256) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end))"""
+
+OP11_SQL = r"""
+with d as (
+  select row_number() over () as k, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from documents),
+b as (
+  select k, i, label from d,
+    (values (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) v(phrase, label),
+    unnest(range(0, len(ws))) u(i)
+  where ws[i + 1:i + len(phrase)] = phrase),
+r(rule, tier, label, keyword, pattern) as (values {rules}),
+m as (select *, '<' || array_to_string(ws, '><') || '>' as marked from d),
+p as (
+  select k, rule, tier, label, string_split(regexp_replace(marked, pattern, '#\0#', 'g'), '#') as parts
+  from m join r on list_contains(ws, keyword)),
+n as (select *, list_transform(parts, lambda x: len(x) - len(replace(x, '<', ''))) as words from p where len(parts) > 1),
+o as (
+  select k, rule, tier, label, coalesce(list_sum(words[1:2 * i - 1]), 0)::bigint as first, list_sum(words[1:2 * i])::bigint as last
+  from n, unnest(range(1, len(parts) // 2 + 1)) u(i)
+  union all
+  select k, -1, 2, label, i, i + case label when 'cc-by' then 2 else 3 end from b),
+s as (
+  select o.k, o.tier, o.label from o
+  where rule < 0 or not exists (
+    select 1 from o e where e.k = o.k and e.first <= o.first and e.last >= o.last and e.tier <= o.tier
+      and (e.last - e.first > o.last - o.first or e.tier < o.tier or e.rule < o.rule))),
+g as (select k, string_agg(distinct label, ',' order by label) as labels, min(tier) as tier from s group by k),
+h as (select k, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by k)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, case tier when 1 then 0.95 when 2 then 0.8 when 3 then 0.4 else 0 end::double as score
+from d left join g using (k) left join h using (k)
+"""
+
+
+def op11_sql() -> str:
+    """The base phrases are spelled out there; the method's own rules come from their table."""
+    quoted = [f"({r.rule}, {r.tier}, '{r.label}', '{r.keyword}', '{r.pattern}')" for r in RULES if not r.base]
+    return OP11_SQL.replace("{rules}", ",\n  ".join(quoted))
+
+
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+OP12_SQL = f"""
+with recursive l as (
+  select *, coalesce('+' || lang, '') as g, {_LEAF} as leaf,
+    case when {_CRC.format("doc_id")} % 7 = 0 then {_LEAF.replace("n_chars", "(n_chars + 1)")} else {_LEAF} end as start,
+    row_number() over (partition by lang order by doc_id nulls first) - 1 as pos, count(*) over (partition by lang) as n
+  from documents),
+n as (
+  select g, 0 as level, pos, leaf as h, n from l
+  union all
+  select g, level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (max(n) + 1) // 2 from n where n > 1 group by g, level, pos // 2),
+s as (select g, h as subroot, row_number() over (order by g) - 1 as pos, count(*) over () as n from n where n.n = 1),
+t as (
+  select 0 as level, pos, subroot as h, n from s
+  union all
+  select level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (max(n) + 1) // 2 from t where n > 1 group by level, pos // 2),
+levels as (select g, level, max(n) as n from n where n > 1 group by g, level),
+crown as (select level, max(n) as n from t where n > 1 group by level),
+p as (
+  select l.doc_id, v.level, case when n.h is null then '-' when (l.pos >> v.level) % 2 = 1 then 'L' || n.h else 'R' || n.h end as e
+  from l join levels v using (g) left join n on n.g = l.g and n.level = v.level and n.pos = xor(l.pos >> v.level, 1)
+  union all
+  select l.doc_id, 1000 + c.level, case when t.h is null then '-' when (s.pos >> c.level) % 2 = 1 then 'L' || t.h else 'R' || t.h end
+  from l join s using (g) cross join crown c left join t on t.level = c.level and t.pos = xor(s.pos >> c.level, 1)),
+q as (select doc_id, list(e order by level) as es from p group by doc_id),
+f as (
+  select l.doc_id, leaf, subroot, (select h from t where n = 1) as root, sha256(coalesce(array_to_string(list_transform(es, lambda e: e[2:]), ''), '')) as proof_sha256,
+    list_reduce([start] || coalesce(es, []), lambda a, e: sha256(case when e[1] = 'L' then e[2:] || a else a || e[2:] end)) as folded_root
+  from l join s using (g) left join q using (doc_id))
+select *, folded_root = root as verified from f
+"""
+
+OP13_SQL = f"""
+with t as (
+  select conv_id, {_CRC.format("conv_id")} % 6 as h,
+    list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as ts
+  from conversations where conv_id is not null group by conv_id),
+r as (
+  select a.conv_id, coalesce(l.ts[1:a.h], []) || a.ts[a.h + 1:len(a.ts)] as ts
+  from t a left join t l on l.conv_id = a.conv_id - a.conv_id % 100),
+n as (
+  select ts[1:d] as k, d as depth, min(conv_id) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (len(ts) = d), '')) as ends_sha256
+  from r, unnest(range(0, len(ts) + 1)) u(d) group by all),
+c as (select k[1:depth - 1] as k, count(*) as n_children from n where depth > 0 group by all),
+m as (select n.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * length(k[depth].text) end as own from n left join c using (k)),
+s as (select k[1:j] as k, sum(own) as saved_tokens, sum((n_children = 0)::int) as n_leaves from m, unnest(range(0, depth + 1)) u(j) group by all)
+select m.conv_id, m.depth::bigint as depth, up.conv_id as parent_conv_id, m.n_convs::bigint as n_convs, m.n_children::bigint as n_children,
+  n_leaves::bigint as n_leaves, saved_tokens::bigint as saved_tokens, m.ends_sha256
+from m join s using (k) left join m up on m.depth > 0 and up.k = m.k[1:m.depth - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mix": OP5_SQL, "op6_cover_tree": OP6_SQL, "op7_tensored_minhash": OP7_SQL, "op8_preference_pairs": OP8_SQL, "op10_substring_dedup": OP10_SQL}
+    return {
+        "op5_source_mix": OP5_SQL, "op6_cover_tree": OP6_SQL, "op7_tensored_minhash": OP7_SQL, "op8_preference_pairs": OP8_SQL, "op10_substring_dedup": OP10_SQL,
+        "op11_license_rules": op11_sql(), "op12_merkle_manifest": OP12_SQL, "op13_prefix_trie": OP13_SQL,
+    }
