@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from ..functions.tokens import count_tokens, savings
 from .chunk import MAX_WORDS, with_chunks
 from .compress import compressed
 from .entities import entities
+from .external import Limits, called
 
 # File types by suffix; images need a reader that the caller brings.
 LOCAL_FORMATS, IMAGE_FORMATS = (".pdf", ".docx", ".pptx"), (".png", ".jpg", ".jpeg", ".webp")
@@ -101,7 +101,7 @@ def pages_of_blocks(blocks: DataFrame, links: DataFrame | None = None) -> DataFr
     they lie on, in order of link_no; blocks need y1 for that.
     """
     key, box = ["doc_id", "page_number"], ["x0", "y0", "x1", "y1"]
-    place = F.struct(block_column(F.col("x0"), F.col("x1"), F.col("page_width")).alias("column"), "y0", "block_no", F.trim("text").alias("t"), *(["x0", "x1", "y1"] if links is not None else []))
+    place = F.struct(block_column(F.col("x0"), F.col("x1"), F.col("page_width")).alias("column"), "y0", "block_no", strip(text(F.col("text"))).alias("t"), *(["x0", "x1", "y1"] if links is not None else []))
     listed = blocks.where("block_type = 0").groupBy(*key).agg(F.array_sort(F.collect_list(place)).alias("b"))
     shown = F.transform("b", lambda b: b["t"])
     if links is not None:
@@ -137,23 +137,17 @@ def normalize(df: DataFrame, name: str = "document_name", markdown: str = "markd
     return out.withColumns({"metadata": meta, "metrics": metrics})
 
 
-def with_reader(files: DataFrame, read: Callable[[bytes, str], str]) -> DataFrame:
+def with_reader(files: DataFrame, read: Callable[[bytes, str], str], limits: Limits = Limits()) -> DataFrame:
     """Adds markdown_raw by a callable of the caller's, such as an OCR service, for rows that
-    `dispatch` gave to the "ai" reader; what it raises becomes the row's error, status 500."""
-    @F.pandas_udf("markdown string, error string")
-    def call(content: pd.Series, path: pd.Series) -> pd.DataFrame:
-        out = []
-        for c, p in zip(content, path, strict=True):
-            try:
-                out.append((read(bytes(c), p), None))
-            except Exception as e:  # the row fails, not the job
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["markdown", "error"])
-
-    mine = F.col("reader") == "ai"
-    done = files.withColumn("_r", F.when(mine, call("content", "path")))
-    failed = F.col("_r.error").isNotNull()
-    return done.withColumns({"markdown_raw": F.col("_r.markdown"), "status": F.when(failed, 500).otherwise(F.col("status")), "error": F.when(failed, F.col("_r.error")).otherwise(F.col("error"))}).drop("_r")
+    `dispatch` gave to the "ai" reader, and for no other.  What it raises becomes the row's error:
+    status 400 for a ValueError, else 500.  markdown_raw of other rows stays as it is."""
+    before = F.col("markdown_raw") if "markdown_raw" in files.columns else F.lit(None).cast("string")
+    done = called(files, F.col("reader") == "ai", ["content", "path"], lambda: lambda content, path: read(bytes(content), path), "_r", limits)
+    mine = F.col("_r").isNotNull()
+    return done.withColumns({
+        "markdown_raw": F.when(mine, F.col("_r.value")).otherwise(before), "status": F.when(mine, F.col("_r.status")).otherwise(F.col("status")),
+        "error": F.when(mine, F.col("_r.error")).otherwise(F.col("error")),
+    }).drop("_r")
 
 
 def engine_info(spark: SparkSession) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.pytext import WS, first_wins, lines, rstrip, squeeze, strip, text
 from ..functions.tokens import count_tokens, popup_tokens, savings
 from . import rules
+from .external import Limits, called
 from .rules import Rule
 
 #: JavaScript's \\b knows ASCII letters alone.
@@ -78,11 +79,14 @@ def capitalized(c: Column) -> Column:
 STAGES: tuple[Callable[[Column], Column], ...] = (strip_fillers, compress_phrases, strip_qualifiers, simplify_passive, dedup_instructions, structure_markdown, normalize_whitespace)
 
 
-def optimize(df: DataFrame, prompt: str = "prompt", rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
+def optimize(
+    df: DataFrame, prompt: str = "prompt", rewrite: Callable[[Column], Column] | None = None, service: Callable[[str], str | None] | None = None, limits: Limits = Limits()
+) -> DataFrame:
     """Adds `optimized` and `techniques`.  A blank prompt becomes empty, by no technique.
 
-    `rewrite` is a column function, such as a user's Arrow UDF around a language model; where
-    it gives null or blank text the rule-based result stays.
+    `rewrite` is a column function, such as a user's Arrow UDF; `service` a function of the
+    rule-based text that calls a language model, for prompts that aren't blank alone.  What they
+    give is stripped; where it is null or blank, or the service fails, the rule-based result stays.
     """
     blank = F.trim(squeeze(text(F.col(prompt)))) == ""
     out = df.withColumn("_0", F.when(blank, F.lit("")).otherwise(text(F.col(prompt))))
@@ -91,16 +95,19 @@ def optimize(df: DataFrame, prompt: str = "prompt", rewrite: Callable[[Column],
     n = len(STAGES)
     fired = F.array_compact(F.array(*[F.when(F.col(f"_{k}") != F.col(f"_{k - 1}"), F.lit(name)) for k, name in enumerate(rules.TECHNIQUES, 1)]))
     out = out.withColumns({"techniques": F.when(blank, F.array().cast("array<string>")).otherwise(fired), "optimized": capitalized(F.col(f"_{n}"))})
-    if rewrite is not None:
-        out = out.withColumn("_new", rewrite(F.col("optimized")))
+    if rewrite is not None or service is not None:
+        if service is not None:
+            out = called(out, ~blank, ["optimized"], lambda: service, "_called", limits).withColumn("_new", F.col("_called.value")).drop("_called")
+        else:
+            out = out.withColumn("_new", rewrite(F.col("optimized")))
         done = F.coalesce(strip(F.col("_new")) != "", F.lit(False)) & ~blank
-        out = out.withColumns({"optimized": F.when(done, F.col("_new")).otherwise(F.col("optimized")), "techniques": F.when(done, F.array_append("techniques", F.lit(rules.REWRITTEN))).otherwise(F.col("techniques"))}).drop("_new")
+        out = out.withColumns({"optimized": F.when(done, strip(F.col("_new"))).otherwise(F.col("optimized")), "techniques": F.when(done, F.array_append("techniques", F.lit(rules.REWRITTEN))).otherwise(F.col("techniques"))}).drop("_new")
     return out.drop(*[f"_{k}" for k in range(n + 1)])
 
 
-def optimize_prompts(df: DataFrame, prompt: str = "prompt", model: Column | str = "gpt-4", rewrite=None, exact: bool = False) -> DataFrame:
+def optimize_prompts(df: DataFrame, prompt: str = "prompt", model: Column | str = "gpt-4", rewrite=None, exact: bool = False, service=None, limits: Limits = Limits()) -> DataFrame:
     """`optimize` with a status, an error for blank prompts, and savings against the original."""
-    out = optimize(df, prompt, rewrite)
+    out = optimize(df, prompt, rewrite, service, limits)
     blank = strip(text(F.col(prompt))) == ""
     out = out.withColumns({"_raw": count_tokens(F.col(prompt), model), "_new": count_tokens(F.col("optimized"), model)})
     numbers = savings(F.col("_raw"), F.col("_new"), model, exact)

@@ -6,10 +6,7 @@ is decided by column expressions.  PDF needs a library the caller has installed.
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions.pytext import strip
 from ..operators.package import found_table, linked, overlaps
+from .parts import docx_items, pptx_items
 
-_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 ITEMS = "path string, page int, ord int, kind string, style string, level int, text string, rows array<array<string>>, box struct<x0:double,y0:double,x1:double,y1:double>, uri string, error string"
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, content and n_bytes of every file."""
+    """path, content and n_bytes of every file; Spark leaves empty files out, `contextdocs` has them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content", F.col("length").alias("n_bytes"))
 
@@ -35,59 +30,6 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def _run_text(node, tag: str) -> str:
-    return "".join(t.text or "" for t in node.iter(tag))
-
-
-def docx_items(content: bytes) -> Iterator[dict]:
-    """Paragraphs with their style, then tables; cells as text."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-        styles = {}
-        if "word/styles.xml" in z.namelist():
-            for s in ElementTree.fromstring(z.read("word/styles.xml")).iter(f"{_W}style"):
-                name = s.find(f"{_W}name")
-                styles[s.get(f"{_W}styleId")] = name.get(f"{_W}val") if name is not None else ""
-    for p in body.findall(f"{_W}p"):
-        style = p.find(f"{_W}pPr/{_W}pStyle")
-        style_id = style.get(f"{_W}val") if style is not None else ""
-        yield {"page": 1, "kind": "paragraph", "style": styles.get(style_id, style_id), "text": _run_text(p, f"{_W}t")}
-    for t in body.findall(f"{_W}tbl"):
-        cells = [["\n".join(_run_text(p, f"{_W}t") for p in c.findall(f"{_W}p")) for c in r.findall(f"{_W}tc")] for r in t.findall(f"{_W}tr")]
-        if cells:
-            yield {"page": 1, "kind": "table", "rows": cells}
-
-
-def pptx_items(content: bytes) -> Iterator[dict]:
-    """By slide: its title, paragraphs with their level, and notes."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        n = 1
-        while f"ppt/slides/slide{n}.xml" in names:
-            root = ElementTree.fromstring(z.read(f"ppt/slides/slide{n}.xml"))
-            yield {"page": n, "kind": "slide", "text": str(n)}
-            rest = []
-            for shape in root.iter(f"{_P}sp"):
-                ph = shape.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")
-                paragraphs = shape.findall(f"{_P}txBody/{_A}p")
-                if ph is not None and ph.get("type") in ("title", "ctrTitle"):
-                    yield {"page": n, "kind": "title", "text": "\n".join(_run_text(p, f"{_A}t") for p in paragraphs)}
-                    continue
-                for p in paragraphs:
-                    pr = p.find(f"{_A}pPr")
-                    rest.append({"page": n, "kind": "bullet", "level": int(pr.get("lvl", 0)) if pr is not None else 0, "text": _run_text(p, f"{_A}t")})
-            yield from rest
-            rels = f"ppt/slides/_rels/slide{n}.xml.rels"
-            if rels in names:
-                for r in ElementTree.fromstring(z.read(rels)):
-                    target = "ppt/" + r.get("Target", "").removeprefix("../")
-                    if "notesSlide" in target and target in names:
-                        notes = ElementTree.fromstring(z.read(target))
-                        bodies = [s for s in notes.iter(f"{_P}sp") if (ph := s.find(f"{_P}nvSpPr/{_P}nvPr/{_P}ph")) is not None and ph.get("type") == "body"]
-                        yield {"page": n, "kind": "notes", "text": "\n".join(_run_text(p, f"{_A}t") for s in bodies for p in s.findall(f"{_P}txBody/{_A}p"))}
-            n += 1
-
-
 def pdf_items(content: bytes) -> Iterator[dict]:
     """By page: text blocks in reading order, links and tables, in the library's own geometry, as
     a caller's environment has it."""
@@ -110,21 +52,25 @@ def pdf_items(content: bytes) -> Iterator[dict]:
 _READERS = {".docx": docx_items, ".pptx": pptx_items, ".pdf": pdf_items}
 
 
+def items_of(path: str, content: bytes) -> list[dict]:
+    """What a file holds; one that can't be read has one item with its error."""
+    reader = _READERS.get("." + path.rpartition(".")[2].lower())
+    try:
+        if reader is None:
+            raise ValueError("no local reader for this file type")
+        return [dict(r, path=path, ord=k) for k, r in enumerate(reader(content))]
+    except Exception as e:  # the row fails, not the job
+        return [{"path": path, "page": 1, "ord": 0, "error": f"{type(e).__name__}: {e}"}]
+
+
 def items(files: DataFrame) -> DataFrame:
-    """What the files hold, a row for each item; a file that can't be read has one row with its error."""
+    """What the files hold, a row for each item."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in ITEMS.split(", ")]
         for f in frames:
             for path, content in zip(f.path, f.content, strict=True):
-                reader = _READERS.get("." + path.rpartition(".")[2].lower())
-                try:
-                    if reader is None:
-                        raise ValueError("no local reader for this file type")
-                    rows = [dict(r, path=path, ord=k) for k, r in enumerate(reader(bytes(content)))]
-                except Exception as e:  # the row fails, not the job
-                    rows = [{"path": path, "page": 1, "ord": 0, "error": f"{type(e).__name__}: {e}"}]
-                yield pd.DataFrame(rows).reindex(columns=names).astype({"page": "Int32", "ord": "Int32", "level": "Int32"}).replace({float("nan"): None})
+                yield pd.DataFrame(items_of(path, bytes(content))).reindex(columns=names).astype({"page": "Int32", "ord": "Int32", "level": "Int32"}).replace({float("nan"): None})
 
     return files.select("path", "content").mapInPandas(parse, ITEMS)
 
@@ -146,14 +92,14 @@ def _shown(kind: Column, style: Column, level: Column, text: Column, rows: Colum
 def pages(found: DataFrame) -> DataFrame:
     """doc_id (the path), page_number, text_content, tables, raw_size_bytes and error of every
     page.  Links go into the blocks that they lie on; tables that were found on a page beside
-    its text stay apart from it."""
+    its text stay apart from it, those of a Word file are in both."""
     some = lambda test, *fields: F.array_sort(F.collect_list(F.when(test, F.struct(*fields))))
     kind = F.col("kind")
     shown = found.withColumn("shown", _shown(kind, F.col("style"), F.col("level"), F.col("text"), F.col("rows")))
     listed = shown.groupBy("path", "page").agg(
         some(F.col("shown").isNotNull() & ~kind.isin("link", "found_table"), "ord", "shown", "box").alias("s"),
         some(kind == "link", "ord", "text", "uri", "box").alias("l"),
-        some((kind == "found_table") & (F.size("rows") > 0), "ord", "rows").alias("t"), F.max("error").alias("error"),
+        some(kind.isin("table", "found_table") & (F.size("rows") > 0), "ord", "rows").alias("t"), F.max("error").alias("error"),
     )
     texts = F.transform("s", lambda s: linked(s["shown"], F.filter("l", lambda x: F.coalesce(overlaps(s["box"], x["box"]), F.lit(False)))))
     tables = F.transform("t", lambda t: found_table(t["rows"]))

@@ -222,8 +222,8 @@ def docx() -> bytes:
 def pptx() -> bytes:
     p = lambda t, lvl=0: f'<a:p><a:pPr lvl="{lvl}"/><a:r><a:t>{t}</a:t></a:r></a:p>'
     shape = lambda kind, body: f"<p:sp><p:nvSpPr><p:nvPr>{f'<p:ph type={chr(34)}{kind}{chr(34)}/>' if kind else ''}</p:nvPr></p:nvSpPr><p:txBody>{body}</p:txBody></p:sp>"
-    root = lambda inner: f'<p:sld xmlns:p="{P}" xmlns:a="{A}">{inner}</p:sld>'
-    rels = '<Relationships><Relationship Target="../notesSlides/notesSlide1.xml"/></Relationships>'
+    root = lambda inner: f'<p:sld xmlns:p="{P}" xmlns:a="{A}"><p:cSld><p:spTree>{inner}</p:spTree></p:cSld></p:sld>'
+    rels = '<Relationships><Relationship Id="rId2" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/notesSlide" Target="../notesSlides/notesSlide1.xml"/></Relationships>'
     return zipped(**{"ppt/slides/slide1.xml": root(shape("", p("top") + p("below", 1)) + shape("title", p("Head"))), "ppt/slides/_rels/slide1.xml.rels": rels, "ppt/notesSlides/notesSlide1.xml": root(shape("body", p("say it"))), "ppt/slides/slide2.xml": root(shape("", p("end")))})
 
 
