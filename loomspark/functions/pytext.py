@@ -19,15 +19,15 @@ def text(c: Column) -> Column:
 
 
 #: The same characters by themselves, for trims, which look at the ends of a text alone.
-_SPACES = "".join(chr(k) for k in range(0x3001) if re.match(WS, chr(k)))
+SPACES = "".join(chr(k) for k in range(0x3001) if re.match(WS, chr(k)))
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(_SPACES))
+    return F.btrim(c, F.lit(SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.rtrim(c, F.lit(_SPACES))
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column, to: str = " ") -> Column:
@@ -48,11 +48,35 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def running_sum(values: Column) -> Column:
+    """By element: the sum of all up to it, in n log n steps: each round adds what lies twice as far back."""
+    n = F.size(values)
+    rounds = F.when(n > 1, F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    before = lambda sums, k: F.slice(F.concat(F.array_repeat(F.lit(0), F.pow(F.lit(2), k).cast("int")), sums), F.lit(1), F.size(sums))
+    return F.aggregate(rounds, values, lambda sums, k: F.zip_with(sums, before(sums, k), lambda a, b: a + b))
+
+
+def runs(keys: Column) -> Column:
+    """(k, i, n) of each different key but null: where it is first and how often it comes, by a sort."""
+    numbered = F.filter(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))), lambda s: s["k"].isNotNull())
+
+    def counted(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, j: F.when((j == 0) | (x["k"] != F.get(s, j - 1)["k"]), j)), lambda j: j.isNotNull())
+        run = lambda at, j, all_: F.struct(F.get(s, at)["k"].alias("k"), F.get(s, at)["i"].alias("i"), (F.coalesce(F.get(all_, j + 1), F.size(s)) - at).alias("n"))
+        return let(starts, lambda all_: F.transform(all_, lambda at, j: run(at, j, all_)))
+
+    return let(F.sort_array(numbered), counted)
+
+
 def first_wins(items: Column, key: Callable[[Column], Column], counts: Callable[[Column], Column]) -> Column:
     """Items in order without those that count and whose key an earlier one had."""
-    keys = lambda xs: F.transform(xs, lambda x: F.when(counts(x), key(x)))
-    first = lambda ks, i: F.get(ks, i).isNull() | (F.array_position(ks, F.get(ks, i)) == i + 1)
-    return let(items, lambda xs: let(keys(xs), lambda ks: F.filter(xs, lambda x, i: first(ks, i))))
+
+    def kept(xs: Column, keys: Column) -> Column:
+        free = F.filter(F.transform(keys, lambda k, i: F.when(k.isNull(), i)), lambda i: i.isNotNull())
+        places = F.sort_array(F.concat(free, F.transform(runs(keys), lambda r: r["i"])))
+        return F.transform(places, lambda i: F.get(xs, i))
+
+    return let(items, lambda xs: let(F.transform(xs, lambda x: F.when(counts(x), key(x))), lambda keys: kept(xs, keys)))
 
 
 def each(df: DataFrame, keys: list[str], items: Column, place: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pytext import NOT_WS, WS, each, let, strip, text
@@ -79,6 +79,22 @@ def sections(df: DataFrame, key: str, column: str) -> DataFrame:
     return each(df, [key], pieces(F.col(column)), "ord", "p").select(key, "ord", "p.level", "p.title", "p.words")
 
 
+def breadcrumbs_of(df: DataFrame, key: str, column: str) -> DataFrame:
+    """The same as `breadcrumbs`, for documents of very many headings: as of each heading, the last
+    one of every level stands in its path unless a later one of a lower level voids it."""
+    heads = each(df, [key], F.filter(pieces(F.col(column)), lambda p: p["level"] > 0), "ord", "p").select(key, "ord", "p.level", "p.title")
+    upto = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = sorted(r.level for r in heads.select("level").distinct().collect())  # a few small numbers
+    latest = {k: F.last(F.when(F.col("level") == k, F.struct("ord", "title")), ignorenulls=True).over(upto) for k in levels}
+    above = heads.withColumns({f"_{k}": c for k, c in latest.items()})
+    crumbs, voided = [], F.lit(-1)
+    for k in levels:
+        crumbs.append(F.when(F.col(f"_{k}.ord") > voided, F.nullif(F.col(f"_{k}.title"), F.lit(""))))
+        voided = F.greatest(voided, F.coalesce(F.col(f"_{k}.ord"), F.lit(-1)))
+    path = F.array_join(F.array_compact(F.array(*crumbs)), " > ") if crumbs else F.lit("")
+    return above.select(key, "ord", path.alias("path"))
+
+
 def breadcrumbs(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, ord, path) of each heading: the titles above it and its own, joined by ' > '."""
     heads = df.select(key, F.filter(pieces(F.col(column)), lambda p: p["level"] > 0).alias("h"))

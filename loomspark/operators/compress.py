@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pytext import WS, each, first_wins, let, lines, squeeze, strip, text
+from ..functions.pytext import WS, each, first_wins, let, lines, runs, squeeze, strip, text
 
 # Fixed value: what marks a line as boilerplate, anywhere in it and in any case.
 BOILERPLATE = rf"(?iU)(page\s+\d+\s+of\s+\d+|confidential|copyright\s+©\s+\d{{4}}|all\s+rights\s+reserved|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\b\d+\s+of\s+\d+\b)"
@@ -39,7 +39,7 @@ def running_lines(c: Column) -> Column:
 
     def frequent(ps: Column, last: bool) -> Column:
         found = F.flatten(F.transform(ps, lambda p: _margins(p, last)))
-        return let(found, lambda all_: F.filter(F.array_distinct(all_), lambda x: F.size(F.filter(all_, lambda y: y == x)) * 2 >= F.size(ps)))
+        return F.transform(F.filter(runs(found), lambda r: r["n"] * 2 >= F.size(ps)), lambda r: r["k"])
 
     none = F.array().cast("array<string>")
     return let(pages(c), lambda ps: F.when(F.size(ps) >= LEAST_PAGES, F.array_union(frequent(ps, False), frequent(ps, True))).otherwise(none))
@@ -60,8 +60,8 @@ def strip_bloat(c: Column) -> Column:
 
     def cleaned(t: Column, running: Column) -> Column:
         # most documents have no running lines to compare with
-        runs = lambda x: F.when(F.size(running) > 0, F.array_contains(running, _normal(x))).otherwise(False)
-        left = F.filter(lines(t), lambda x: (strip(x) == "") | ~(is_boilerplate(x) | runs(x)))
+        runs_on = lambda x: F.when(F.size(running) > 0, F.array_contains(running, _normal(x))).otherwise(False)
+        left = F.filter(lines(t), lambda x: (strip(x) == "") | ~(is_boilerplate(x) | runs_on(x)))
         once = first_wins(left, lambda x: F.lower(squeeze(strip(x), "")), lambda x: F.length(strip(x)) > LONG_LINE)
         even = F.transform(once, lambda x: F.when(strip(x) == "", F.lit("")).otherwise(x))
         return strip(F.regexp_replace(F.array_join(even, "\n"), "\n{3,}", "\n\n"))

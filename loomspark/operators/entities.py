@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pytext import WS, each, let, strip, text
+from ..functions.pytext import WS, each, first_wins, let, running_sum, strip, text
 
 # Suffixes of organisations, names of technologies and places, months.
 SUFFIXES = ("Corp", "Corporation", "Inc", "LLC", "Ltd", "Group", "Holdings", "Solutions", "Systems", "Technologies", "University", "Institute")
@@ -57,14 +57,10 @@ def found(t: Column, category: str) -> Column:
     """name and context of every match: offsets are the running sum of what lies between."""
 
     def located(ms: Column, gaps: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        ends = F.aggregate(
-            F.sequence(F.lit(0), F.size(ms) - 1), zero,
-            lambda acc, k: let_at(acc["at"] + F.length(F.get(gaps, k)), lambda at: F.struct((at + F.length(F.get(ms, k))).alias("at"), F.array_append(acc["starts"], at).alias("starts"))),
-        )["starts"]
-        return let(ends, lambda starts: F.transform(ms, lambda m, k: _entity(t, m, F.get(starts, k), category)))
-
-    let_at = lambda value, body: F.get(F.transform(F.array(value), body), 0)
+        # every gap and the match after it end at a running sum
+        ends = running_sum(F.zip_with(F.slice(gaps, F.lit(1), F.size(ms)), ms, lambda g, m: F.length(g) + F.length(m)))
+        return let(ends, lambda upto: F.transform(ms, lambda m, k: _entity(t, m, F.get(upto, k) - F.length(m), category)))
+
     p = pattern(category)
     none = F.array().cast("array<struct<name:string,category:string,context:string>>")
     return let(F.regexp_extract_all(t, F.lit(p), 0), lambda ms: F.when(F.size(ms) == 0, none).otherwise(let(F.split(t, p, -1), lambda gaps: located(ms, gaps))))
@@ -84,10 +80,7 @@ def entities(c: Column) -> Column:
     all_ = lambda t: F.concat(*[found(t, k) for k in PATTERNS])
     key = lambda e: F.concat(F.lower(e["name"]), F.lit("\n"), e["category"])
 
-    def once(es: Column) -> Column:
-        return let(F.transform(es, key), lambda ks: F.filter(es, lambda e, i: F.array_position(ks, F.get(ks, i)) == i + 1))
-
-    return let(text(c), lambda t: let(all_(t), once))
+    return let(text(c), lambda t: first_wins(all_(t), key, lambda _: F.lit(True)))
 
 
 def exploded(df: DataFrame, key: str, column: str) -> DataFrame:

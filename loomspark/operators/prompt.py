@@ -13,18 +13,17 @@ from . import rules
 from .external import Limits, called
 from .rules import Rule
 
-#: JavaScript's \\b knows ASCII letters alone.
-_JS_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+def apply_rules(c: Column, some: Iterable[Rule], javascript: bool = False) -> Column:
+    """The rules one after the other; a text in which none of them matches is left at that."""
+    patterns = rules.java_patterns(some, javascript)
 
+    def all_(t: Column) -> Column:
+        done = t
+        for p, to in patterns:
+            done = F.regexp_replace(done, p, to)
+        return F.when(t.rlike("|".join(p for p, _ in patterns)), done).otherwise(t)
 
-def apply_rules(c: Column, some: Iterable[Rule], javascript: bool = False) -> Column:
-    for r in some:
-        p = r.pattern.replace(r"\s", WS)
-        if javascript:
-            c = F.regexp_replace(c, ("(?i)" if r.any_case else "") + p.replace(r"\b", _JS_EDGE), r.to)
-        else:
-            c = F.regexp_replace(c, ("(?iU)" if r.any_case else "(?U)") + p, r.to)
-    return c
+    return all_(c)
 
 
 def strip_fillers(c: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+from ..functions.pytext import WS
+
 # Fixed values.  Parts in brackets may be missing; white space must follow.
 FILLERS = (
     "please", "could you [please]", "can you [please]", "would you [please] [be able to]", "I would like you to",
@@ -62,6 +65,26 @@ class Rule:
     any_case: bool
 
 
+#: JavaScript's \\b knows ASCII letters alone.
+_JS_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def _java(r: Rule, javascript: bool) -> str:
+    """The rule's pattern with its modes.  Its first letter is looked at before the word boundary
+    is, which costs more at each place of a text."""
+    p = r.pattern.replace(r"\s", WS)
+    first = p.removeprefix(r"\b")
+    first = first[: first.index("]") + 1] if first[0] == "[" else first[0]
+    p = p.replace(r"\b", _JS_EDGE) if javascript else p
+    modes = ("i" if r.any_case else "") + ("" if javascript else "U")
+    return f"(?{modes}:(?={first}){p})" if modes else f"(?={first}){p}"
+
+
+def java_patterns(some: Iterable[Rule], javascript: bool = False) -> list[tuple[str, str]]:
+    """Patterns and what takes the place of a match."""
+    return [(_java(r, javascript), r.to) for r in some]
+
+
 def _either(phrase: str) -> str:
     return f"[{phrase[0].upper()}{phrase[0].lower()}]{phrase[1:]}"
 

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     the expressions over a text cost far more than moving it once."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if name in ("documents", "pages", "conversations") and df.rdd.getNumPartitions() < cores else df
 
 
 def seeded(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import json
+import time
 import zipfile
 
 import pytest
 from loomspark.functions import sql, tokens
+from loomspark.functions.pytext import first_wins, running_sum, runs
 from loomspark.operators import chunk, compress, entities, package, prompt
 from loomspark.sources import office, sinks, web
 from loomspark.streaming import stream
@@ -174,7 +176,7 @@ def test_a_reader_of_the_callers_and_its_errors(spark):
         return content.decode() * 2
 
     rows = {r.path: (r.markdown_raw, r.status, r.error) for r in package.with_reader(df, read).collect()}
-    assert rows == {"/a/p.png": ("hihi", 200, None), "/a/q.png": (None, 500, "unreadable")}
+    assert rows == {"/a/p.png": ("hihi", 200, None), "/a/q.png": (None, 400, "unreadable")}
 
 
 def test_health_and_demo(spark):
@@ -274,6 +276,56 @@ def test_sql_functions_equal_their_columns(spark):
         assert df.select(F.expr(call).alias("a"), column.alias("b")).where("not a <=> b").count() == 0, call
 
 
+def test_sql_operators_equal_their_columns(spark):
+    sql.register(spark)
+    texts = [
+        "", None, "  \u3000", "please do it, in order to finish", "Could you please kindly just help me basically fix this", "éa  very\u00a0important\tpoint", "ſhall I? Kindly Kindly  go",
+        "Keep every answer short.\n# Title\nkeep  every\u2003answer SHORT.\n# Title\n\n\n\nshort\nshort", "Requirements:\u00a0\n  1) First step\n٣. Arabic digit\n# Not: a label:", "ßtraße stays\x1c",
+        "#  Heading \u2003 Spacing \n\n \u00a0 -   item\n  3.   x\n\u2028## a", "12 June 2026", " 3 SEP\u00a02020 ", "3 Sept 2020", "2026-06-12 ", "99 june 2026", "٣ june 2026", "there is no need to 'quote' \\\\ it",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    pairs = {"loom_compress_syntax(t)": compress.compress_syntax(F.col("t")), "loom_iso_date(t)": entities.iso_date(F.col("t"))}
+    names = ("strip_filler", "compress_phrases", "strip_qualifiers", "simplify_passive", "dedup_instructions", "structure_markdown", "normalize_ws")
+    pairs |= {f"loom_{n}(t)": stage(F.coalesce("t", F.lit(""))) for n, stage in zip(names, prompt.STAGES, strict=True)}
+    for call, column in pairs.items():
+        assert df.select("t", F.expr(call).alias("a"), column.alias("b")).where("not a <=> b").collect() == [], call
+    whole = prompt.optimize(df, "t").select("t", "optimized", F.expr("loom_optimize(if(trim(coalesce(t, '')) = '', '', t))").alias("a"))
+    assert whole.where("not a <=> optimized").collect() == []
+    numbers = spark.createDataFrame([(r, k, m) for r in (None, 0, 7, 32, 1000) for k in (0, 31, 400) for m in ("gpt-4", "gpt-4o", "claude", "x")], "raw long, kept long, m string")
+    s = tokens.savings(F.col("raw"), F.col("kept"), F.col("m"))
+    for field in ("tokens_saved", "savings_percentage", "dollars_saved"):
+        assert numbers.where("raw is not null").select("*", F.expr(f"loom_savings(raw, kept, m).{field}").alias("a"), s[field].alias("b")).where("not a <=> b").collect() == []
+
+
+def test_repeats_in_a_very_long_document_take_linear_time(spark):
+    """100,000 lines, half of them repeats: compared pair by pair these took minutes."""
+    lines = [f"instruction number {k % 50_000} of many, spelled out" for k in range(100_000)]
+    df = spark.createDataFrame([("\n".join(lines),)], "t string")
+    start = time.perf_counter()
+    assert df.select(prompt.dedup_instructions(F.col("t")).alias("v")).first().v == "\n".join(lines[:50_000])
+    assert len(df.select(compress.strip_bloat(F.col("t")).alias("v")).first().v.split("\n")) == 100_000
+    assert time.perf_counter() - start < 60
+
+
+def test_first_wins_by_brute_force(spark):
+    items = ["b", "a", "B", None, "a", "c", "", "b", "A", "", None]
+    got = spark.createDataFrame([(items,), ([],)], "x array<string>").select(first_wins(F.col("x"), F.lower, lambda x: x != "").alias("v")).collect()
+    assert [r.v for r in got] == [["b", "a", None, "c", "", "", None], []]
+    keys = spark.createDataFrame([(items,)], "x array<string>").select(runs(F.col("x")).alias("r")).first().r
+    assert {(r.k, r.i, r.n) for r in keys} == {("", 6, 2), ("A", 8, 1), ("B", 2, 1), ("a", 1, 2), ("b", 0, 2), ("c", 5, 1)}
+    sums = spark.createDataFrame([([3, 1, 4, 1, 5, 9, 2],), ([],), ([7],)], "x array<int>").select(running_sum(F.col("x")).alias("v")).collect()
+    assert [r.v for r in sums] == [[3, 4, 8, 9, 14, 23, 25], [], [7]]
+
+
+def test_paths_of_very_many_headings(spark):
+    text = "\n\n".join(f"{'#' * (1 + (k * 7 + k // 5) % 6)} {'' if k % 11 == 0 else f'h{k}'}" for k in range(150))
+    df = spark.createDataFrame([(1, text), (2, "# A\n\n### C\n\n## B\n\n### D\n\n# "), (3, "no heading"), (4, None)], "k int, t string")
+    rows = sorted(chunk.breadcrumbs_of(df, "k", "t").collect())
+    assert rows == sorted(chunk.breadcrumbs(df, "k", "t").collect()) and [r.path for r in rows if r.k == 2] == ["A", "A > C", "A > B", "A > B > D"]
+    long = spark.createDataFrame([(1, "\n\n".join(f"{'#' * (1 + k % 3)} h{k}" for k in range(20_000)))], "k int, t string")
+    assert chunk.breadcrumbs_of(long, "k", "t").where("ord = 19999").first().path == "h19998 > h19999"
+
+
 def test_streams_give_what_batches_give(spark, tmp_path):
     prompts = spark.createDataFrame([(k, f"Please kindly review item {k}. In order to finish, test it.") for k in range(20)], "prompt_id long, prompt string")
     prompts.repartition(4).write.parquet(f"{tmp_path}/in")
