@@ -28,7 +28,8 @@ def _normal(line: Column) -> Column:
     return F.lower(squeeze(strip(line)))
 
 
-def _margins(page: Column, last: bool) -> Column:
+def margins(page: Column, last: bool) -> Column:
+    """Normalised lines at the top (or bottom) of a page, without headings and tables."""
     shown = F.filter(F.transform(lines(page), _normal), lambda x: x != "")
     some = F.slice(F.reverse(shown) if last else shown, 1, MARGIN)
     return F.filter(some, lambda x: ~(F.startswith(x, F.lit("#")) | F.startswith(x, F.lit("|"))))
@@ -38,7 +39,7 @@ def running_lines(c: Column) -> Column:
     """Normalised headers and footers that half of the pages or more have, in a row's own text."""
 
     def frequent(ps: Column, last: bool) -> Column:
-        found = F.flatten(F.transform(ps, lambda p: _margins(p, last)))
+        found = F.flatten(F.transform(ps, lambda p: margins(p, last)))
         return F.transform(F.filter(runs(found), lambda r: r["n"] * 2 >= F.size(ps)), lambda r: r["k"])
 
     none = F.array().cast("array<string>")
@@ -50,7 +51,7 @@ def running_lines_of(df: DataFrame, key: str, column: str) -> DataFrame:
     as counts by document and line."""
     ps = each(df, [key], pages(F.col(column)), "page", "p")
     n = ps.groupBy(key).agg(F.count("*").alias("n")).where(f"n >= {LEAST_PAGES}")
-    sides = [ps.select(key, F.lit(k).alias("side"), F.explode(_margins(F.col("p"), last)).alias("line")) for k, last in enumerate((False, True))]
+    sides = [ps.select(key, F.lit(k).alias("side"), F.explode(margins(F.col("p"), last)).alias("line")) for k, last in enumerate((False, True))]
     counts = sides[0].union(sides[1]).groupBy(key, "side", "line").agg(F.count("*").alias("c"))
     return counts.join(n, key).where("2 * c >= n").select(key, "line").distinct()
 

@@ -3,6 +3,7 @@ video and repository pages of two sites, the description or the list of files.""
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -18,13 +19,68 @@ _HIDDEN = ("script", "style", "noscript", "template")
 _VOID = ("br", "img", "hr", "input", "meta", "link", "wbr")
 
 
+# Elements that start and end on a line of their own, and those with a blank line around.
+_BLOCKS = (
+    "address", "article", "aside", "blockquote", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "legend", "li", "main", "menu", "nav", "ol", "pre", "search", "section",
+    "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
+)
+_APART = ("p",)
+#: White space that collapses: a no-break space doesn't.
+_COLLAPSING = " \t\n\r\f"
+
+
+class Layout:
+    """Text as it is laid out: white space collapses to one blank, none at a line's ends; breaks
+    that blocks ask for are made once, before the next text, and the most asked for counts."""
+
+    def __init__(self) -> None:
+        self._done: list[str] = []
+        self._breaks, self._blank, self._fresh = 0, False, True
+
+    def text(self, data: str, kept: bool = False) -> None:
+        if kept:  # as it stands, in <pre>
+            self._put(data) if data else None
+            return
+        words = [w for w in re.split(f"[{_COLLAPSING}]+", data) if w]
+        self._blank = self._blank or data[:1] in _COLLAPSING
+        for k, word in enumerate(words):
+            self._put(f" {word}" if (k or self._blank) and not self._breaks and not self._fresh else word)
+            self._blank = False
+        self._blank = bool(data) and (self._blank or data[-1] in _COLLAPSING)
+
+    def _put(self, shown: str) -> None:
+        if self._breaks and self._done:
+            self._done.append("\n" * self._breaks)
+        self._breaks, self._blank = 0, False
+        self._done.append(shown)
+        self._fresh = shown.endswith(("\n", "\t"))
+
+    def line(self) -> None:
+        """A line break, which always counts."""
+        self._put("\n")
+
+    def cell(self) -> None:
+        """The next cell of a row."""
+        self._put("\t")
+
+    def apart(self, lines: int) -> None:
+        """What follows starts so many lines below."""
+        self._breaks, self._blank = max(self._breaks, lines), False
+
+    def shown(self) -> str:
+        return "".join(self._done)
+
+
 class _Page(HTMLParser):
-    """Texts of open parts; a nested part's text belongs to those around it, too."""
+    """Layouts of open parts; a nested part's text belongs to those around it, too."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.title, self.parts, self._open, self._hidden, self._in_title = "", [], [], 0, False
-        self.areas: dict[str, str] = {}
+        self.areas: dict[str, Layout] = {}
+        self._pre = 0
+        self._rows: list[int] = []  # cells so far of rows that are open
         self._inside: list[list] = []  # areas that are open: name, element, how often it is nested
 
     def _area(self, tag: str, attrs: dict) -> str | None:
@@ -38,23 +94,41 @@ class _Page(HTMLParser):
         for area in self._inside:
             area[2] += area[1] == tag
         if tag not in _VOID and (name := self._area(tag, dict(attrs))) and name not in self.areas:
-            self.areas[name] = ""
+            self.areas[name] = Layout()
             self._inside.append([name, tag, 1])
+        if tag not in ("br", "td", "th") and not self._hidden:
+            self._apart(tag)  # what is open starts a line; a part that starts here is empty yet
+        self._pre += tag == "pre"
         if tag in _HIDDEN:
             self._hidden += 1
         elif tag == "title":
             self._in_title = True
         elif tag in ("ul", "ol"):
-            self._open.append([tag, []])  # an item inside doesn't end one outside
+            self._open.append([tag, None])  # an item inside doesn't end one outside
         elif tag in PARTS:
             self._end_before(tag)
-            part = [tag, []]
+            part = [tag, Layout()]
             self.parts.append(part)
             self._open.append(part)
-        elif tag in ("br", "tr"):
-            self.handle_data("\n")
-        elif tag in ("td", "th"):
-            self.handle_data("\t")
+        if tag == "tr":
+            self._rows.append(0)
+        elif tag == "br" and not self._hidden:
+            for layout in self._layouts():
+                layout.line()
+        elif tag in ("td", "th") and self._rows:
+            self._rows[-1] += 1
+            if self._rows[-1] > 1:
+                for layout in self._layouts():
+                    layout.cell()
+
+    def _layouts(self):
+        yield from (part[1] for part in self._open if isinstance(part[1], Layout))
+        yield from (self.areas[area[0]] for area in self._inside)
+
+    def _apart(self, tag: str) -> None:
+        if lines := 2 if tag in _APART else int(tag in _BLOCKS):
+            for layout in self._layouts():
+                layout.apart(lines)
 
     def _end_before(self, tag: str) -> None:
         """A paragraph ends with the next part, an item with the next one of its list."""
@@ -69,6 +143,9 @@ class _Page(HTMLParser):
         for area in self._inside:
             area[2] -= area[1] == tag
         self._inside = [area for area in self._inside if area[2]]
+        self._pre = max(0, self._pre - (tag == "pre"))
+        if tag == "tr" and self._rows:
+            self._rows.pop()
         if tag in _HIDDEN:
             self._hidden = max(0, self._hidden - 1)
         elif tag == "title":
@@ -78,15 +155,15 @@ class _Page(HTMLParser):
                 if self._open[k][0] == tag:
                     del self._open[k:]
                     break
+        if not self._hidden:
+            self._apart(tag)
 
     def handle_data(self, data):
         if self._in_title:
             self.title += data
         elif not self._hidden:
-            for part in self._open:
-                part[1].append(data)
-            for area in self._inside:
-                self.areas[area[0]] += data
+            for layout in self._layouts():
+                layout.text(data, kept=self._pre > 0)
 
 
 def to_markdown(html: str | None, url: str | None = None) -> tuple[str, str]:
@@ -97,13 +174,13 @@ def to_markdown(html: str | None, url: str | None = None) -> tuple[str, str]:
         host = urlsplit(url or "").hostname or ""
     except ValueError:  # not a URL
         host = ""
-    title, areas = page.title.strip(), page.areas
+    title, areas = re.sub(f"[{_COLLAPSING}]+", " ", page.title).strip(), {name: area.shown() for name, area in page.areas.items()}
     for (site, form), area in ((VIDEO, areas.get("description", "")), (REPOSITORY, areas.get("files", areas.get("listing", "")))):
         if site in host:
             return title, form.format(title, area.strip())
     out = []
-    for tag, texts in page.parts:
-        text = "".join(texts).strip()
+    for tag, layout in page.parts:
+        text = layout.shown().strip()
         if tag[0] == "h":
             out.append(f"{'#' * int(tag[1])} {text}")
         elif text:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import io
 import json
+import re
 import time
 import zipfile
 
@@ -247,10 +249,16 @@ def test_text_files(spark, tmp_path):
     "url, html, markdown",
     [
         ("https://x.example", "<title> T </title><h2>Head</h2><script>no</script><p>one <b>two</b></p><p> </p><ul><li>a<li>b</ul>", "## Head\n\none two\n\na\n\nb"),
-        ("https://www.youtube.com/watch?v=1", "<title>Clip</title><p>no</p><div id='description-inner'>about <div>it</div> all</div><p>no</p>", "YouTube Video Page: Clip\n\nDescription:\nabout it all"),
+        ("https://www.youtube.com/watch?v=1", "<title>Clip</title><p>no</p><div id='description-inner'>about <div>it</div> all</div><p>no</p>", "YouTube Video Page: Clip\n\nDescription:\nabout\nit\nall"),
         ("https://github.com/a/b", "<title>Repo</title><div aria-labelledby='folders-and-files'>x</div><table class='wide files'><tr><td>f.py</td></tr></table>", "GitHub Repository Context: Repo\n\nFile Listings:\nf.py"),
         (None, None, ""),
         ("https://[", "<p>x", "x"),
+        (None, "<title>a\n  b</title><p>one\n     two</p><p> a <b> b</b>  c\u00a0\u00a0d </p>", "one two\n\na b c\u00a0\u00a0d"),
+        (None, "<p>a<br>b <br/> c</p><h1> Big\n<i>head</i> </h1>", "a\nb\nc\n\n# Big head"),
+        (None, "<ul><li>one<div>two</div>three</li><li><p>four</p><p>five</p></li></ul>", "one\ntwo\nthree\n\nfour\n\nfive\n\nfour\n\nfive"),
+        (None, "<table>\n <tr>\n <th>k</th> <th> v </th>\n</tr> <tr><td>1</td><td></td><td>2</td></tr></table>", "k\tv\n1\t\t2"),
+        (None, "<li>x<pre>  two\n   lines</pre>y</li>", "x\n  two\n   lines\ny"),
+        (None, "<p>a<script>var x</script> b<style>p{}</style>c</p><p>\n</p>", "a bc"),
     ],
 )
 def test_web_pages(spark, url, html, markdown):
@@ -258,6 +266,21 @@ def test_web_pages(spark, url, html, markdown):
     assert web.html_to_markdown(df).first().markdown == markdown
 
 
+def test_web_pages_row_for_row(spark):
+    """Every page of the smallest table, against patterns over its source."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    rows = web.html_to_markdown(pages).collect()
+    assert rows
+    for r in rows:
+        source = re.sub(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", "", r.html or "")
+        want = []
+        for tag, inner in re.findall(r"(?is)<(h1|p|li)\b[^>]*>(.*?)(?=</?(?:h1|p|li|ul|div|nav|article|footer|body)\b|\Z)", source):
+            lines = re.split(r"(?i)<(?:br|/?div|/?tr)\b[^>]*>", inner)
+            text = "\n".join(html.unescape(re.sub(r"[ \t\n\r\f]+", " ", re.sub(r"<[^>]*>", "", x))).strip(" ") for x in lines).strip()
+            want += [f"{'#' * int(tag[1])} {text}"] if tag[0] in "hH" else [text] if text else []
+        assert r.markdown == "\n\n".join(want)
+
+
 def test_sinks(spark, tmp_path):
     rows = package.normalize(spark.createDataFrame([("a.docx", "# A\n\nbody text", 40), ("b.docx", "# B\n\nother\n\ntext", 60)], "document_name string, markdown_raw string, raw_bytes long"))
     sinks.write_json(rows, f"{tmp_path}/json")
