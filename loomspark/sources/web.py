@@ -104,12 +104,15 @@ class _Page(HTMLParser):
         elif tag == "title":
             self._in_title = True
         elif tag in ("ul", "ol"):
+            self._end_before(tag)
             self._open.append([tag, None])  # an item inside doesn't end one outside
         elif tag in PARTS:
             self._end_before(tag)
             part = [tag, Layout()]
             self.parts.append(part)
             self._open.append(part)
+        elif tag in _BLOCKS:
+            self._end_before(tag)
         if tag == "tr":
             self._rows.append(0)
         elif tag == "br" and not self._hidden:
@@ -131,7 +134,7 @@ class _Page(HTMLParser):
                 layout.apart(lines)
 
     def _end_before(self, tag: str) -> None:
-        """A paragraph ends with the next part, an item with the next one of its list."""
+        """A paragraph ends where a block starts or ends, an item with the next one of its list."""
         if self._open and self._open[-1][0] == "p":
             self._open.pop()
         if tag == "li":
@@ -150,7 +153,9 @@ class _Page(HTMLParser):
             self._hidden = max(0, self._hidden - 1)
         elif tag == "title":
             self._in_title = False
-        elif tag in (*PARTS, "ul", "ol"):
+        if tag in _BLOCKS and not self._hidden:
+            self._end_before("")
+        if tag in (*PARTS, "ul", "ol"):
             for k in range(len(self._open) - 1, -1, -1):
                 if self._open[k][0] == tag:
                     del self._open[k:]
