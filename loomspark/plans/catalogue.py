@@ -213,9 +213,9 @@ def _iso_sql(x: str) -> str:
 
 _DATES = "select doc_id, concat(case when doc_id % 3 = 0 then ' ' else '' end, case doc_id % 6 when 0 then concat(doc_id % 31 + 1, ' June 2026') when 1 then concat(doc_id % 99, ' sep ', 1900 + doc_id % 200) when 2 then '2026-06-12' when 3 then '3 Sept 2020' when 4 then 'soon' else concat(doc_id % 9, '  DECEMBER  1999') end) as d from documents"
 _PATHS = "select doc_id, concat('/in/file', doc_id, case doc_id % 7 when 0 then '.PDF' when 1 then '.docx' when 2 then '.pptx' when 3 then '.jpeg' when 4 then '.exe' when 5 then '' else '.webp' end) as path, case when doc_id % 11 = 0 then 0 else n_chars end as n_bytes from documents"
-_BLOCKS = "select doc_id div_ 10 as doc_id, cast(doc_id % 3 as int) as page_number, cast(doc_id % 10 as int) as block_no, cast((doc_id * 37) % 400 as double) as x0, cast((doc_id * 53) % 700 as double) as y0, cast((doc_id * 37) % 400 + 50 + (doc_id * 11) % 500 as double) as x1, concat(' block ', doc_id, ' ') as text, cast(case when doc_id % 13 = 0 then 1 else 0 end as int) as block_type, cast(600 as double) as page_width from documents"
+_BLOCKS = "select doc_id div_ 10 as doc_id, cast(doc_id % 3 as int) as page_number, cast(doc_id % 10 as int) as block_no, cast((doc_id * 37) % 400 as double) as x0, cast((doc_id * 53) % 700 as double) as y0, cast((doc_id * 37) % 400 + 50 + (doc_id * 11) % 500 as double) as x1, case when doc_id % 17 = 0 then concat(chr(10), chr(9)) else concat(chr(10), ' block ', doc_id, ' ', chr(9), chr(10)) end as text, cast(case when doc_id % 13 = 0 then 1 else 0 end as int) as block_type, cast(600 as double) as page_width from documents"
 
-_LINKED = _BLOCKS.replace("' block ', doc_id, ' '", "' block ', doc_id, ' of block ', doc_id, ' '").replace(" as x1,", " as x1, cast((doc_id * 53) % 700 + 20 as double) as y1,")
+_LINKED = _BLOCKS.replace("' block ', doc_id, ' ', chr(9)", "' block ', doc_id, ' of block ', doc_id, chr(9)").replace(" as x1,", " as x1, cast((doc_id * 53) % 700 + 20 as double) as y1,")
 _LINKS = "select doc_id div_ 10 as doc_id, cast(doc_id % 3 as int) as page_number, doc_id as link_no, cast((doc_id * 37) % 400 as double) as x0, cast((doc_id * 53) % 700 as double) as y0, cast((doc_id * 37) % 400 + 50 as double) as x1, cast((doc_id * 53) % 700 + 20 as double) as y1, concat('block ', doc_id) as text, concat('https://site.example/', doc_id) as uri from documents where doc_id % 10 = 4"
 _ITEMS = """select concat('/in/', doc_id % 50, case when doc_id % 2 = 0 then '.docx' else '.pptx' end) as path, cast(1 as int) as page, cast(doc_id * 2 as int) as ord, case when doc_id % 2 = 0 then 'paragraph' else 'bullet' end as kind,
   case (doc_id div 50) % 4 when 0 then 'Heading 1' when 1 then 'heading 2' when 2 then 'List Bullet 2' else 'Normal' end as style, cast((doc_id div 50) % 3 as int) as level, case when doc_id % 4 < 2 then concat(' ', source, ' ') else ' ' end as text,
@@ -384,16 +384,16 @@ def _build() -> dict[str, tuple[Query, str | None]]:
     column = "case when x1 - x0 > page_width * 0.7 then 0 when x0 > page_width * 0.45 then 1 else 0 end"
     q["block_order"] = (
         lambda spark, d: package.pages_of_blocks(spark.sql(_BLOCKS.replace("div_", "div").replace("from documents", "from {documents}"), documents=table(spark, d, "documents"))),
-        f"with s as ({_BLOCKS.replace('div_', '//')}) select doc_id, page_number, string_agg(trim(text), chr(10) || chr(10) order by {column}, y0, block_no) as text_content from s where block_type = 0 group by all",
+        f"with s as ({_BLOCKS.replace('div_', '//')}) select doc_id, page_number, coalesce(string_agg({_strip('text')}, chr(10) || chr(10) order by {column}, y0, block_no) filter ({_strip('text')} <> ''), '') as text_content from s where block_type = 0 group by all",
     )
     q["pdf_links"] = (
         lambda spark, d: package.pages_of_blocks(*(spark.sql(x.replace("div_", "div").replace("from documents", "from {documents}"), documents=table(spark, d, "documents")) for x in (_LINKED, _LINKS))),
         f"""with s as ({_LINKED.replace('div_', '//')}), l as ({_LINKS.replace('div_', '//')}),
           j as (select s.*, l.text as label, '[' || l.text || '](' || uri || ')' as mark from s left join l on s.doc_id = l.doc_id and s.page_number = l.page_number
             and least(s.x1, l.x1) > greatest(s.x0, l.x0) and least(s.y1, l.y1) > greatest(s.y0, l.y0)),
-          t as (select *, trim(text) as body from j),
+          t as (select *, {_strip('text')} as body from j),
           r as (select *, case when label is null or not contains(body, label) then body else substr(body, 1, instr(body, label) - 1) || mark || substr(body, instr(body, label) + length(label)) end as shown from t)
-          select doc_id, page_number, string_agg(shown, chr(10) || chr(10) order by {column}, y0, block_no) as text_content from r where block_type = 0 group by all""",
+          select doc_id, page_number, coalesce(string_agg(shown, chr(10) || chr(10) order by {column}, y0, block_no) filter (shown <> ''), '') as text_content from r where block_type = 0 group by all""",
     )
     q["office_pages"] = (
         lambda spark, d: office.pages(spark.sql(_ITEMS.replace("from documents", "from {documents}"), documents=table(spark, d, "documents"))).select(F.col("doc_id").alias("path"), "page_number", "text_content", "raw_size_bytes"),

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pytest
-from loomspark.plans import catalogue
+from loomspark.plans import outside
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
+QUERIES, SQL = outside.queries(), outside.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
