@@ -240,8 +240,32 @@ class Pool:
         # and terms by tail
         order = np.argsort(docs, kind="stable")
         self._terms, self._row, self._terms_at = terms[order], row[terms[order]], np.concatenate([[0], np.cumsum(np.bincount(docs, minlength=n))])
+        self._live = np.diff(self._terms_at)  # terms that the tail still has, first in its share
+        self._idf, self._mean, self._weight = idf, mean, np.zeros(len(idf), np.float32)
         self._scored: dict[int, np.ndarray] = {}
 
+    def cut(self, k: int, tail: list) -> None:
+        """Tail k is now `tail`: its postings, its terms as a seed and its scores are of what is left."""
+        self.tails[k] = tail
+        begin = self._terms_at[k]
+        share = slice(begin, begin + self._live[k])
+        was, row = self._terms[share].copy(), self._row[share].copy()
+        terms, tf = np.unique(tail[2], return_counts=True)
+        terms = terms.astype(np.int64)
+        self._weight[terms] = self._idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(tail[2]) / self._mean))
+        now = self._weight[was]
+        self._dense[row[row >= 0], k] = now[row >= 0]
+        for term, weight in zip(was[row < 0].tolist(), now[row < 0], strict=True):  # a term's postings are in order of their tail
+            low, high = self._at[term], self._at[term + 1]
+            self._weights[low + np.searchsorted(self._docs[low:high], k)] = weight
+        left = now > 0
+        self._live[k] = n = int(left.sum())
+        self._terms[begin : begin + n], self._row[begin : begin + n] = was[left], row[left]
+        self._scored.pop(k, None)
+        for seed, scores in self._scored.items():
+            scores[k] = self._weight[self._terms[self._terms_at[seed] : self._terms_at[seed] + self._live[seed]]].sum()
+        self._weight[terms] = 0
+
     def seed(self) -> int | None:
         while self._first < self._n and not self.unused[self._first]:
             self._first += 1
@@ -249,7 +273,7 @@ class Pool:
 
     def scores(self, seeds: np.ndarray) -> np.ndarray:
         """BM25 of every tail for all terms of each seed."""
-        n, sizes = len(seeds), np.diff(self._terms_at)[seeds]
+        n, sizes = len(seeds), self._live[seeds]
         which = np.repeat(np.arange(n), sizes)
         at = np.repeat(self._terms_at[seeds] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(which))
         terms, row = self._terms[at], self._row[at]
@@ -286,7 +310,7 @@ def fill(pool: Pool, window: int) -> Iterator[list[tuple]]:
             if len(take) == len(ids):
                 pool.unused[k] = False
             else:
-                pool.tails[k] = [doc_id, start + len(take), ids[len(take) :], n]
+                pool.cut(k, [doc_id, start + len(take), ids[len(take) :], n])
             room -= len(take)
             if not room:
                 break

@@ -15,6 +15,31 @@ def test_packing_ranks_by_all_terms_of_a_seed():
     assert [k for k in packing.Pool(tails, idf, 80.0).neighbours(0) if k][:2] == [2, 1]
 
 
+def test_a_cut_tail_is_ranked_by_what_is_left():
+    """After cuts, at any point, scores equal those of a pool made of what is left."""
+    rng = np.random.default_rng(3)
+    tails = [[k, 0, rng.integers(0, 60, rng.integers(20, 90)).astype("<u4"), 90] for k in range(40)]
+    idf, mean = rng.random(60) + 0.1, 50.0
+    pool = packing.Pool([list(t) for t in tails], idf, mean)
+    next(pool.neighbours(3))  # scores are held ahead
+    for k in (5, 7, 7, 39, 3):
+        _, start, ids, n = pool.tails[k]
+        pool.cut(k, [k, start + 9, ids[9:], n])
+        fresh = packing.Pool([list(t) for t in pool.tails], idf, mean)
+        assert np.allclose(pool.scores(np.arange(40)), fresh.scores(np.arange(40)), atol=1e-4)
+        assert all(np.allclose(v[k], fresh.scores(np.array([s]))[0][k], atol=1e-4) for s, v in pool._scored.items() if s != k)
+
+
+def test_packing_with_cuts_loses_no_id():
+    rng = np.random.default_rng(4)
+    tails = [[k, 0, rng.integers(0, 60, rng.integers(1, 90)).astype("<u4"), 90] for k in range(60)]
+    pool = packing.Pool([list(t) for t in tails], rng.random(60) + 0.1, 50.0)
+    parts = [p for w in [*packing.fill(pool, 64), *packing.powers(pool)] for p in w]
+    for k, (_, _, ids, _) in enumerate(tails):
+        mine = sorted((start, take.tolist()) for doc, start, take, _ in parts if doc == k)
+        assert sum((take for _, take in mine), []) == ids.tolist()
+
+
 def test_hmm_trains_until_the_likelihood_stops_rising(spark, monkeypatch):
     """One more round over all training rows gains less than 0.001 a token."""
     made, train = [], hmm.baum_welch
