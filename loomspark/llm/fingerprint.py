@@ -1,13 +1,14 @@
 """Threshold-scaled sketches of documents, by DataFrame functions alone.
 
-A sketch keeps every hash of a five-word shingle below a fixed fraction of the hash range.
-The fraction is the same for all documents, so sketches of parts merge to the sketch of the
-whole by a union, and the share of one sketch found in another estimates how much of a short
-document a long one contains.  Where no hash is below the threshold, the least one is kept,
-so that no text with words has an empty sketch; `merged` drops it again when it may.  Such a
-hash is above the threshold, where other sketches hold none, so it says nothing about shares:
-`containment` and `resemblance` of sketches are null there, and `compared` takes them from
-all hashes of both texts.
+A sketch keeps every hash of a five-word shingle below a fixed fraction of the hash range,
+and its `LEAST` least hashes where fewer are below.  Both rules survive a union, so sketches
+of parts merge to the sketch of the whole.  Up to a bound that can be read from it, a sketch
+holds all hashes of its text: the fraction, its last hash if that is above, or any bound if it
+has fewer than `LEAST` hashes.  Two sketches are compared up to the lesser of their bounds,
+from what they store alone: exactly for two texts of fewer than `LEAST` distinct shingles,
+as estimates otherwise.  The share of a short document in a long one is unknown (null) where
+the short one has no hash below the fraction; `containment_or_resemblance` then takes the
+resemblance, which is 0.
 
 Words are lower-cased.  A text of fewer than five words is one shingle; a null text is empty;
 a text without words has the empty sketch, is like another such text by 1 and like any other
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 from .neighbours import with_next
 from .shared import GAP_PATTERN
 
-#: Share of all shingle hashes that a sketch retains.
+#: Share of all shingle hashes that a sketch retains, and how many hashes it has at least (all, if there are fewer).
 FRACTION = 1 / 8
+LEAST = 37
 SHINGLE = 5
 
 
 def _threshold(fraction: float) -> int:
-    return int((1 << 64) * fraction) - (1 << 63)
+    """The greatest hash below the fraction."""
+    return int((1 << 64) * fraction) - (1 << 63) - 1
 
 
 def _let(value: Column, body) -> Column:
@@ -45,8 +48,8 @@ def sketch(text: Column, fraction: float = FRACTION, shingle: int = SHINGLE) ->
         return F.transform(starts, lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(shingle)]))
 
     def retained(hs: Column) -> Column:
-        low = F.filter(hs, lambda h: h < F.lit(_threshold(fraction))) if fraction < 1 else hs
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).otherwise(F.array(F.array_min(hs)))
+        low = F.array_sort(F.array_distinct(F.filter(hs, lambda h: h <= F.lit(_threshold(fraction)))))
+        return _let(low, lambda kept: F.when(F.size(kept) >= LEAST, kept).otherwise(F.slice(F.array_sort(F.array_distinct(hs)), 1, LEAST)))
 
     none = F.array().cast("array<bigint>")
     return _let(words, lambda ws: F.when(F.size(ws) == 0, none).otherwise(_let(hashes(ws), retained)))
@@ -54,37 +57,40 @@ def sketch(text: Column, fraction: float = FRACTION, shingle: int = SHINGLE) ->
 
 def merged(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """The sketch of both texts' shingles together."""
-    both = F.array_sort(F.array_union(a, b))
-    low = F.filter(both, lambda h: h < F.lit(_threshold(fraction)))
-    return F.when(F.size(low) > 0, low).otherwise(F.slice(both, 1, 1))
 
+    def retained(both: Column) -> Column:
+        low = F.filter(both, lambda h: h <= F.lit(_threshold(fraction)))
+        return F.when(F.size(low) >= LEAST, low).otherwise(F.slice(both, 1, LEAST))
 
-def _least_only(sk: Column, fraction: float) -> Column:
-    """Whether the sketch has no retained hash, but the least one in their place."""
-    return F.coalesce(F.get(sk, 0) >= F.lit(_threshold(fraction)), F.lit(False))
+    return _let(F.array_sort(F.array_union(a, b)), retained)
 
 
-def _share(common: Column, of: Column, a: Column, b: Column, fraction: float) -> Column:
-    either = (F.size(a) == 0) | (F.size(b) == 0)
-    unknown = ~either & (_least_only(a, fraction) | _least_only(b, fraction)) if fraction < 1 else F.lit(False)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when(of == 0, 0.0).when(~unknown, common / of)
+def _bound(sk: Column, fraction: float) -> Column:
+    """The sketch holds all hashes of its text up to here."""
+    return F.when(F.size(sk) < LEAST, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.element_at(sk, -1), F.lit(_threshold(fraction))))
+
+
+def _compared(a: Column, b: Column, fraction: float, share) -> Column:
+    """share(hashes of a, hashes of b) up to the bound that both sketches have."""
+    up_to = lambda bound: share(F.filter(a, lambda h: h <= bound), F.filter(b, lambda h: h <= bound))
+    none = (F.size(a) == 0).cast("int") + (F.size(b) == 0).cast("int")
+    return F.when(none == 2, 1.0).when(none == 1, 0.0).otherwise(_let(F.least(_bound(a, fraction), _bound(b, fraction)), up_to))
 
 
 def containment(a: Column, b: Column, fraction: float = FRACTION) -> Column:
     """Estimated share of the smaller document's shingles that the other has too; null where
-    a sketch has no retained hash."""
-    return _share(F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b)), a, b, fraction)
+    the bound leaves no hash of it."""
+    of = lambda x, y: F.least(F.size(x), F.size(y))
+    return _compared(a, b, fraction, lambda x, y: F.when(of(x, y) > 0, F.size(F.array_intersect(x, y)) / of(x, y)))
 
 
 def resemblance(a: Column, b: Column, fraction: float = FRACTION) -> Column:
-    """Estimated Jaccard similarity; null where a sketch has no retained hash."""
-    return _share(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b)), a, b, fraction)
+    """Estimated Jaccard similarity."""
+    return _compared(a, b, fraction, lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
 
 
-def compared(a: Column, b: Column, text_a: Column, text_b: Column, measure) -> Column:
-    """`measure` (containment or resemblance) of two sketches, or of all hashes of their
-    texts where the sketches can't tell."""
-    return F.coalesce(measure(a, b), measure(sketch(text_a, 1), sketch(text_b, 1), 1))
+def containment_or_resemblance(a: Column, b: Column, fraction: float = FRACTION) -> Column:
+    return F.coalesce(containment(a, b, fraction), resemblance(a, b, fraction))
 
 
 def spelled(sk: Column) -> Column:
@@ -99,10 +105,10 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sketch, edited, edited_sketch, next_text and next_sketch of every document,
-    where `edited` mixes it with the next document by doc_id."""
+    """doc_id, text, sketch, edited, edited_sketch and next_sketch of every document, where
+    `edited` mixes it with the next document by doc_id.  Texts are dealt by ranges of ids;
+    their sketches are made once, after that."""
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("sketch", sketch(F.col("text")))
-    near = with_next(own, "doc_id", ["text"], ["text", "sketch"])
-    mixed = near.select("doc_id", "text", "sketch", F.col("next_row.text").alias("next_text"), F.col("next_row.sketch").alias("next_sketch"), edited(F.col("text"), F.col("next_row.text")).alias("edited"))
+    near = with_next(own, "doc_id", ["text"], ["text", "sketch"], derive={"sketch": sketch(F.col("text"))})
+    mixed = near.select("doc_id", "text", "sketch", F.col("next_row.sketch").alias("next_sketch"), edited(F.col("text"), F.col("next_row.text")).alias("edited"))
     return mixed.withColumn("edited_sketch", sketch(F.col("edited")))

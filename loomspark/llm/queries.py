@@ -31,14 +31,13 @@ def op2_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_scaled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fingerprint.fingerprints(documents(spark, sf_dir))
-    a, b = F.col("sketch"), F.col("edited_sketch")
-    edited = lambda measure: fingerprint.compared(a, b, F.col("text"), F.col("edited"), measure)
-    following = lambda measure: fingerprint.compared(a, F.col("next_sketch"), F.col("text"), F.col("next_text"), measure)
+    a, b, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    near = fingerprint.containment_or_resemblance
     return f.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint.spelled(a).alias("fingerprint"), fingerprint.spelled(b).alias("edited_fingerprint"),
-        edited(fingerprint.containment).alias("near_edited"), following(fingerprint.containment).alias("near_next"),
-        edited(fingerprint.resemblance).alias("jaccard_edited"), following(fingerprint.resemblance).alias("jaccard_next"),
+        near(a, b).alias("near_edited"), near(a, following).alias("near_next"),
+        fingerprint.resemblance(a, b).alias("jaccard_edited"), fingerprint.resemblance(a, following).alias("jaccard_next"),
     )
 
 
