@@ -80,17 +80,28 @@ class Links:
 
     def __init__(self, n: int) -> None:
         self.counts = np.zeros(n, np.int64)
-        self.component = np.arange(n)
+        self.parent, self.size = np.arange(n), np.ones(n, np.int64)
         self.edges: list[tuple[int, int]] = []
 
+    def roots(self, points: np.ndarray) -> np.ndarray:
+        """The representatives of the points' components; their paths are cut short."""
+        found = self.parent[points]
+        while not np.array_equal(up := self.parent[found], found):
+            found = up
+        self.parent[points] = found
+        return found
+
     def join(self, a: int, points: np.ndarray) -> None:
         """Links point a to others; an edge is kept for each component that is new to it."""
-        own = self.component[a]
-        theirs, at = np.unique(self.component[points], return_index=True)
-        for component, k in zip(theirs.tolist(), at.tolist(), strict=True):
-            if component != own:
-                self.component[self.component == component] = own
-                self.edges.append((a, int(points[k])))
+        own = self.roots(np.array([a]))[0]
+        theirs, at = np.unique(self.roots(points), return_index=True)
+        new = theirs != own
+        if new.any():
+            met = np.append(theirs[new], own)
+            largest = met[self.size[met].argmax()]
+            self.size[largest] = self.size[met].sum()
+            self.parent[met] = largest
+            self.edges.extend((a, p) for p in points[at[new]].tolist())
 
 
 def traverse(vectors: np.ndarray, weights: np.ndarray, a: Node, b: Node, threshold: float, links: Links) -> None:

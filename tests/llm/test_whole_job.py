@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from loomspark.llm import hmm, packing, queries
 from pyspark.sql import functions as F
@@ -256,3 +258,56 @@ def test_sketch_bounds_and_merges_by_brute_force(spark):
         unknown += r.c is None
         assert r.c == (len(x & y) / min(len(x), len(y)) if x and y else None)
     assert unknown
+
+
+def test_forest_of_links_joins_what_links_do():
+    """A chain of 30,000 points in linear time, and random links: as many edges as components lost."""
+    from loomspark.llm import covertree
+
+    chain = covertree.Links(30_000)
+    start = time.perf_counter()
+    for k in range(29_999):
+        chain.join(k, np.array([k + 1]))
+    assert time.perf_counter() - start < 10 and len(set(chain.roots(np.arange(30_000)).tolist())) == 1
+    rng = np.random.default_rng(3)
+    links, sets = covertree.Links(300), [{k} for k in range(300)]
+    for _ in range(120):
+        a, points = int(rng.integers(300)), rng.integers(0, 300, 3)
+        links.join(a, points)
+        met = set().union(sets[a], *(sets[p] for p in points.tolist()))
+        for k in met:
+            sets[k] = met
+    want = {frozenset(x) for x in map(frozenset, sets)}
+    roots = links.roots(np.arange(300))
+    assert {frozenset(np.flatnonzero(roots == r).tolist()) for r in set(roots.tolist())} == want
+    assert len(links.edges) == 300 - len(want)
+    again = covertree.Links(300)
+    for a, b in links.edges:
+        again.join(a, np.array([b]))
+    assert len(again.edges) == len(links.edges) and {tuple(again.roots(np.arange(300)) == r) for r in set(again.roots(np.arange(300)).tolist())} == {tuple(roots == r) for r in set(roots.tolist())}
+
+
+def test_traversal_of_clusters_by_brute_force():
+    """Clusters of many widths: counts of links and components as all pairs give them, between two trees and within one."""
+    from loomspark.llm import covertree
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    u = np.concatenate([c + rng.normal(size=(15 + k, 16)) * (0.02 + 0.02 * (k % 20)) for k, c in enumerate(centres)])
+    u /= np.sqrt((u**2).sum(axis=1))[:, None]
+    rng.shuffle(u)
+    n, weight = len(u), rng.integers(1, 4, len(u))
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    half = np.arange(n) < n // 3
+    one, two = covertree.tree(u, np.flatnonzero(half)), covertree.tree(u, np.flatnonzero(~half))
+    links = covertree.Links(n)
+    for a, b in ((one, one), (two, two), (one, two)):
+        covertree.traverse(u, weight, a, b, 0.93, links)
+    assert near.sum() > 5000 and (links.counts == near @ weight).all()
+    least = np.arange(n)
+    while (lower := np.minimum(least, np.where(near, least, n).min(axis=1))).tolist() != least.tolist():
+        least = lower
+    roots = links.roots(np.arange(n))
+    assert len(set(roots.tolist())) == len(set(least.tolist())) == len(set(zip(roots.tolist(), least.tolist(), strict=True)))
+    assert len(links.edges) == n - len(set(least.tolist()))
