@@ -35,9 +35,19 @@ def price(model: Column) -> Column:
     return _by_family(model, PRICES, F.lit(OTHER_PRICE))
 
 
+def sizes(c: Column) -> Column:
+    """chars and words of a text: all that its tokens under any model need."""
+    return let(text(c), lambda t: F.struct(F.length(t).alias("chars"), word_count(t).cast("long").alias("words")))
+
+
 def count_tokens(c: Column, model: Column | str = "gpt-4") -> Column:
     """1.3 tokens a word, scaled by family; a text of white space alone has a token for four
     characters, one at least; an empty or null text has none."""
+    return let(sizes(c), lambda s: tokens_of(s, model))
+
+
+def tokens_of(size: Column, model: Column | str = "gpt-4") -> Column:
+    """The tokens of a text by its `sizes`."""
     model = F.lit(model) if isinstance(model, str) else model
     div = lambda a, b: F.floor(a / b).cast("long")
     one = F.lit(1).cast("long")
@@ -45,12 +55,9 @@ def count_tokens(c: Column, model: Column | str = "gpt-4") -> Column:
     def scaled(plain: Column) -> Column:
         return _by_family(model, tuple((n, div(plain * percent, 100)) for n, percent in SCALES), plain)
 
-    def counted(t: Column, words: Column) -> Column:
-        blank = F.greatest(one, div(F.length(t), 4))
-        some = let(F.greatest(one, div(words * 130, 100)), scaled)
-        return F.when(t == "", F.lit(0).cast("long")).when(words == 0, blank).otherwise(some)
-
-    return let(text(c), lambda t: let(word_count(t).cast("long"), lambda words: counted(t, words)))
+    chars, words = size["chars"], size["words"]
+    some = let(F.greatest(one, div(words * 130, 100)), scaled)
+    return F.when(chars == 0, F.lit(0).cast("long")).when(words == 0, F.greatest(one, div(chars, 4))).otherwise(some)
 
 
 def true_tokens(c: Column, vocabulary: str) -> Column:

@@ -131,10 +131,11 @@ def normalize(df: DataFrame, name: str = "document_name", markdown: str = "markd
     none = F.array().cast("array<struct<name:string,category:string,context:string>>")
     out = out.withColumn("entities", entities(F.col("full_markdown")) if options.extract_entities else none)
     raw = F.floor(F.col(raw_bytes) / 2).cast("long")
-    m = savings(raw, count_tokens(F.col("full_markdown"), options.target_model), options.target_model, exact)
+    out = out.withColumn("_tokens", count_tokens(F.col("full_markdown"), options.target_model))  # words are counted once
+    m = savings(raw, F.col("_tokens"), options.target_model, exact)
     metrics = F.struct(m["raw_tokens"].alias("raw_tokens_estimate"), m["markdown_tokens"].alias("compressed_tokens"), m["tokens_saved"].alias("tokens_saved"), m["savings_percentage"].alias("savings_percentage"), m["dollars_saved"].alias("dollars_saved"))
     meta = F.create_map(F.lit("file_type"), suffix(F.col(name)), F.lit("use_ai_ocr"), F.lit(str(options.use_ai)), F.lit("target_model"), F.lit(options.target_model))
-    return out.withColumns({"metadata": meta, "metrics": metrics})
+    return out.withColumns({"metadata": meta, "metrics": metrics}).drop("_tokens")
 
 
 def with_reader(files: DataFrame, read: Callable[[bytes, str], str], limits: Limits = Limits()) -> DataFrame:

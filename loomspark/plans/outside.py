@@ -77,9 +77,9 @@ def _rewritten_sql() -> str:
 
 def doc_dollars(spark: SparkSession, d: str) -> DataFrame:
     """Savings of every document under every family of models, in micro-dollars, rounded as binary values are."""
-    some = catalogue.docs(spark, d).select("doc_id", tokens.byte_proxy(F.col("markdown")).alias("raw"), compress.compress_syntax(F.col("markdown")).alias("t"))
+    some = catalogue.docs(spark, d).select("doc_id", tokens.byte_proxy(F.col("markdown")).alias("raw"), tokens.sizes(compress.compress_syntax(F.col("markdown"))).alias("size"))
     models = F.explode(F.array(*(F.lit(m) for m, _, _ in _PRICES))).alias("model")
-    counted = some.select("*", models).withColumn("new", tokens.count_tokens(F.col("t"), F.col("model")))
+    counted = some.select("*", models).withColumn("new", tokens.tokens_of(F.col("size"), F.col("model")))
     s = tokens.savings(F.col("raw"), F.col("new"), F.col("model"), exact=True)
     return counted.select("doc_id", "model", s["tokens_saved"].alias("tokens_saved"), F.round(s["dollars_saved"] * 1e6).cast("long").alias("micro_dollars"))
 
