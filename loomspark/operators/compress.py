@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pytext import WS, each, first_wins, let, lines, runs, squeeze, strip, text
+from ..functions.pytext import WS, begins, each, first_wins, let, lines, runs, squeeze, strip, text
 
 # Fixed value: what marks a line as boilerplate, anywhere in it and in any case.
-BOILERPLATE = rf"(?iU)(page\s+\d+\s+of\s+\d+|confidential|copyright\s+©\s+\d{{4}}|all\s+rights\s+reserved|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\b\d+\s+of\s+\d+\b)"
+BOILERPLATE = begins("pca0123456789") + rf"(?iU)(page\s+\d+\s+of\s+\d+|confidential|copyright\s+©\s+\d{{4}}|all\s+rights\s+reserved|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\b\d+\s+of\s+\d+\b)"
 PAGE_BREAK = "\n+---\n+"
 #: Margin lines looked at on either end of a page, and pages from which on they are.
 MARGIN, LEAST_PAGES = 2, 3
