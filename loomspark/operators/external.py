@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 
 Call = Callable[..., str | None]
 RESULT = "value string, error string, status int, attempts int"
+#: Bytes of inputs, about, that a partition makes Python values of at a time.
+SLICE = 1 << 20
 _ARROW = pa.struct([("value", pa.string()), ("error", pa.string()), ("status", pa.int32()), ("attempts", pa.int32())])
 
 
@@ -46,6 +48,14 @@ def _tried(call: Call, values: tuple, limits: Limits) -> dict:
     return failure
 
 
+def slices(batches: Iterator[pa.RecordBatch], most_bytes: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Record batches cut to about so many bytes: the inputs and results of one slice are held at a time."""
+    for batch in batches:
+        step = max(1, batch.num_rows * most_bytes // max(1, batch.nbytes))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+
+
 def called(df: DataFrame, due: Column, inputs: list[str], connect: Callable[[], Call], out: str = "result", limits: Limits = Limits()) -> DataFrame:
     """Adds `out`, a struct of value, error, status and attempts, null for rows that aren't due (a null
     condition: not due).  `connect` makes a partition's client, a function of the inputs."""
@@ -55,7 +65,7 @@ def called(df: DataFrame, due: Column, inputs: list[str], connect: Callable[[],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = None
         with ThreadPoolExecutor(limits.at_once) as pool:
-            for batch in batches:
+            for batch in slices(batches):
                 call = call or connect()
                 columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in inputs]
                 results = pool.map(lambda values, call=call: _tried(call, values, limits), zip(*columns, strict=True))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from loomspark.functions.pytext import NOT_WS, WS
-from loomspark.operators import entities
+from loomspark.operators import entities, external
 from loomspark.plans import catalogue, outside
 from pyspark.sql import functions as F
 
@@ -83,3 +84,16 @@ def test_entities_around_marks_and_letters_of_other_cases(spark):
             if [tuple(e) for e in row[k]] != want:
                 wrong.append((k, row.t, row[k], want))
     assert wrong[:3] == []
+
+
+def test_calls_get_batches_in_slices():
+    """A batch of many large inputs isn't made Python values of at once, and no row is lost."""
+    batch = pa.RecordBatch.from_pydict({"k": list(range(1000)), "content": [b"x" * 20_000] * 1000})
+    got = list(external.slices(iter([batch, batch.slice(0, 0), batch.slice(5, 1)])))
+    assert max(b.nbytes for b in got) <= 1 << 20 and [k for b in got for k in b.column(0).to_pylist()] == [*range(1000), 5]
+
+
+def test_a_service_gets_every_row_once(spark):
+    df = spark.range(0, 3000, 1, 1).select("id", F.encode(F.repeat(F.lit("x"), F.col("id").cast("int")), "utf-8").alias("content"))
+    rows = external.called(df, F.col("id") % 2 == 0, ["content"], lambda: lambda content: str(len(content))).select("id", "result.value").collect()
+    assert sorted(tuple(r) for r in rows) == [(k, None if k % 2 else str(k)) for k in range(3000)]
