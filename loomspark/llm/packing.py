@@ -257,13 +257,16 @@ class Pool:
         self._dense[row[row >= 0], k] = now[row >= 0]
         for term, weight in zip(was[row < 0].tolist(), now[row < 0], strict=True):  # a term's postings are in order of their tail
             low, high = self._at[term], self._at[term + 1]
-            self._weights[low + np.searchsorted(self._docs[low:high], k)] = weight
+            self._weights[low + self._docs[low:high].searchsorted(k)] = weight
         left = now > 0
         self._live[k] = n = int(left.sum())
         self._terms[begin : begin + n], self._row[begin : begin + n] = was[left], row[left]
         self._scored.pop(k, None)
+        for seed in [s for s in self._scored if not self.unused[s]]:
+            del self._scored[seed]  # it seeds no window any more
         for seed, scores in self._scored.items():
-            scores[k] = self._weight[self._terms[self._terms_at[seed] : self._terms_at[seed] + self._live[seed]]].sum()
+            at = self._terms_at[seed]
+            scores[k] = np.add.reduce(self._weight[self._terms[at : at + self._live[seed]]])
         self._weight[terms] = 0
 
     def seed(self) -> int | None:
