@@ -75,11 +75,15 @@ _HEADING, _ITEM = rf"^{WS}*(#+){WS}+", rf"^({WS}*)([-*+]|[0-9]+\.){WS}+"
 
 def compress_syntax(c: Column) -> Column:
     """One blank between words, after a heading's marks and after a list's bullet."""
-    even = lambda x: strip(F.regexp_replace(x, "[ \t]+", " "))
+
+    def even(x: Column) -> Column:
+        """Most lines have single blanks alone, which needs no pattern."""
+        uneven = F.contains(x, F.lit("  ")) | F.contains(x, F.lit("\t"))
+        return strip(F.when(uneven, F.regexp_replace(x, "[ \t]+", " ")).otherwise(x))
 
     def line(x: Column) -> Column:
-        heading = F.concat(F.regexp_extract(x, _HEADING, 1), F.lit(" "), even(F.regexp_replace(x, _HEADING, "")))
-        item = F.concat(F.regexp_extract(x, _ITEM, 1), F.regexp_extract(x, _ITEM, 2), F.lit(" "), even(F.regexp_replace(x, _ITEM, "")))
+        heading = F.concat(F.regexp_extract(x, _HEADING, 1), F.lit(" "), let(F.regexp_replace(x, _HEADING, ""), even))
+        item = F.concat(F.regexp_extract(x, _ITEM, 1), F.regexp_extract(x, _ITEM, 2), F.lit(" "), let(F.regexp_replace(x, _ITEM, ""), even))
         return F.when(x.rlike(_HEADING), heading).when(x.rlike(_ITEM), item).otherwise(even(x))
 
     return strip(F.array_join(F.transform(lines(text(c)), line), "\n"))

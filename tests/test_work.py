@@ -8,7 +8,7 @@ import time
 import pyarrow as pa
 import pytest
 from loomspark.functions.pytext import NOT_WS, WS
-from loomspark.operators import entities, external
+from loomspark.operators import compress, entities, external
 from loomspark.plans import catalogue, outside
 from pyspark.sql import functions as F
 
@@ -53,6 +53,31 @@ def test_words_cost_little_more_than_those_of_ascii(spark):
     assert least(f"{NOT_WS}+") < 6 * plain
 
 
+def test_lines_with_single_blanks_are_left_alone(spark):
+    """They are most of a corpus; a pattern that replaces each blank by itself costs as much as one that mends it."""
+    def least(gap: str) -> float:
+        df = spark.range(0, 4000, 1, 4).select(F.repeat(F.lit(gap.join(["some", "words", "of", "a", "text", ""])), 1000).alias("t"))
+        return min(seconds(df.select(compress.compress_syntax(F.col("t")))) for _ in range(3))
+
+    assert least(" ") < 0.75 * least("  ")
+
+
+def test_blanks_and_tabs_are_made_even(spark):
+    gaps = [" ", "  ", "\t", " \t", "\t ", "\u00a0", "\u00a0 ", ""]
+    lines = [f"{head}a{g}b{h}c{g}" for head in ("", "- ", "  12.  ", "#  ", "##\t") for g in gaps for h in gaps]
+    df = spark.createDataFrame([(t,) for t in lines], "t string").select("t", compress.compress_syntax(F.col("t")).alias("got"))
+
+    def want(t: str) -> str:
+        even = lambda x: re.sub("[ \t]+", " ", x).strip()
+        if m := re.match(r"\s*(#+)\s+", t):
+            return f"{m[1]} {even(t[m.end() :])}".strip()
+        if m := re.match(r"(\s*)([-*+]|[0-9]+\.)\s+", t):
+            return f"{m[1]}{m[2]} {even(t[m.end() :])}".strip()
+        return even(t)
+
+    assert [(r.t, r.got, want(r.t)) for r in df.collect() if r.got != want(r.t)] == []
+
+
 def test_entities_of_long_texts_take_time_in_proportion(spark):
     """No match copies the whole text."""
     def least(n: int) -> float:
