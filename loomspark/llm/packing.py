@@ -60,7 +60,7 @@ def _presence(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids in order and how often each comes; several times as fast here as np.unique."""
+    """The distinct ids in order and how often each comes; less work here than np.unique."""
     ids = np.sort(ids)
     edge = np.concatenate([[-1], np.flatnonzero(ids[1:] != ids[:-1]), [len(ids) - 1]])
     return ids[edge[1:]].astype(np.int64), np.diff(edge)
